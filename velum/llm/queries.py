@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from velum.llm import mixing, perplexity
+from velum.llm import mixing, packing, perplexity
 from velum.llm.shared import table
 
 QUERIES = {
     "op2_perplexity_rules": lambda spark, d: perplexity.query(table(spark, d, "documents")),
     "op3_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+    "op8_bin_slack_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
 }
 SQL = {"op3_source_mixing": mixing.oracle()}
