@@ -25,7 +25,7 @@ BITS = 6
 #: n-gram keys of the languages scored in one pass; a single language may have up to 64**4.
 GROUP_KEYS = 8_000_000
 #: Band: quartiles widened by so many interquartile ranges, and by at least MIN_WIDTH in log-perplexity.
-LOW_RANGES, HIGH_RANGES, MIN_WIDTH = 3.0, 3.0, 0.12
+LOW_RANGES, HIGH_RANGES, MIN_WIDTH = 4.0, 5.0, 0.18
 SYMBOLS = b"#*$%&|<>"
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from velum.llm import mixing, packing, perplexity, sketch
+from velum.llm import automaton, mixing, packing, perplexity, sketch, suffixes
 from velum.llm.shared import table
 
 QUERIES = {
     "op2_perplexity_rules": lambda spark, d: perplexity.query(table(spark, d, "documents")),
     "op3_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+    "op6_suffix_automata": lambda spark, d: automaton.query(table(spark, d, "documents")),
+    "op7_suffix_merge": lambda spark, d: suffixes.query(table(spark, d, "documents")),
     "op8_bin_slack_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
     "op10_setsketch_near_dup": lambda spark, d: sketch.query(table(spark, d, "documents")),
 }
