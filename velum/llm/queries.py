@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from velum.llm import automaton, mixing, packing, perplexity, sketch, suffixes, templates
+from velum.llm import automaton, lines, mixing, packing, perplexity, sketch, suffixes, templates
 from velum.llm.shared import table
 
 QUERIES = {
     "op2_perplexity_rules": lambda spark, d: perplexity.query(table(spark, d, "documents")),
     "op3_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+    "op4_line_dedup": lambda spark, d: lines.query(table(spark, d, "documents")),
     "op5_site_templates": lambda spark, d: templates.query(table(spark, d, "pages")),
     "op6_suffix_automata": lambda spark, d: automaton.query(table(spark, d, "documents")),
     "op7_suffix_merge": lambda spark, d: suffixes.query(table(spark, d, "documents")),
