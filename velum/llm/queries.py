@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from velum.llm import automaton, lines, mixing, packing, perplexity, sketch, suffixes, templates
+from velum.llm import automaton, lines, mixing, neighbours, packing, perplexity, sketch, suffixes, templates
 from velum.llm.shared import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_suffix_automata": lambda spark, d: automaton.query(table(spark, d, "documents")),
     "op7_suffix_merge": lambda spark, d: suffixes.query(table(spark, d, "documents")),
     "op8_bin_slack_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
+    "op9_latent_neighbours": lambda spark, d: neighbours.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_setsketch_near_dup": lambda spark, d: sketch.query(table(spark, d, "documents")),
 }
 SQL = {"op3_source_mixing": mixing.oracle()}
