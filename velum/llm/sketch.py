@@ -8,7 +8,7 @@ of their registers given both set sizes, and what may reach the threshold is con
 
 All pairs of a bucket are never emitted: first each member is compared with the bucket's smallest one; members that
 are linked are merged, and then only buckets that still hold several components are compared across them, in
-blocks, where for each member and foreign component the likeliest partner is tried first, and all likely ones in the end.
+blocks, where for each member and foreign component the likeliest partners are tried first until one is linked.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs go to the exact check unless the likelihood's estimate is this far below the threshold (over five standard deviations of 130 registers).
 SLACK = 0.17
-BLOCK = 1000
+BLOCK = 400
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,69 +157,113 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, floor: float, best_only: bool) -> DataFrame:
-    """Likely pairs of different labels within buckets: ``members`` has ``key, blk, other, side, rid, label, n, regs``.
+def set_table(texts: DataFrame, k: int) -> DataFrame:
+    """``rid, set``: the sorted hashes of each text's shingles."""
 
-    A group (key, blk, other) holds a block's rows (side 0) and, if other > blk, another block's (side 1). Groups arrive
-    sorted, as many to a batch as fit; each is compared as a matrix of its two sides.
+    def run(batches):
+        for batch in batches:
+            for rows, data, offs in chunks(batch):
+                h, bounds = shingles(data, offs, k)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["rid", "set"])
+
+    return texts.select("rid", "text").mapInArrow(run, "rid long, set binary")
+
+
+def across(members: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Links ``a, b`` between different labels within buckets, confirmed on full sets.
+
+    ``members`` has ``key, blk, other, band, side, rid, label, n, regs, set``. A group (key, blk, other) holds a block's rows
+    (side 0) and, if other > blk, another block's (side 1). A pair is compared only in the first band that it shares,
+    its likeliest partners of a label first, and one link to each foreign label is enough, as it joins the components.
     """
 
-    def compare(g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left = g["side"] == 0
-        right = ~left if (~left).any() else left
-        a = {c: g[c][left] for c in g}
-        b = {c: g[c][right] for c in g}
-        for i in range(len(a["rid"])):
-            ok = np.flatnonzero((b["label"] != a["label"][i]) & (np.minimum(b["n"], a["n"][i]) >= floor * np.maximum(b["n"], a["n"][i])))
-            if right is left:
-                ok = ok[ok > i]
-            if not len(ok):
+    def linked(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if len(x) > len(y):
+            x, y = y, x
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    def compare(g: dict, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        side, label, n, regs, band = (g[c][lo:hi] for c in ("side", "label", "n", "regs", "band"))
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1)
+        alone = not len(right)
+        if alone:
+            right = left
+        pairs = []
+        for i in left:
+            j = right[(label[right] != label[i]) & (np.minimum(n[right], n[i]) >= floor * np.maximum(n[right], n[i]))]
+            if alone:
+                j = j[j > i]
+            if len(j):
+                same = regs[j] == regs[i]
+                j, same = (x[same.sum(1) >= (floor - 0.02) * M] for x in (j, same))
+                b = int(band[i])
+                if len(j) and b:  # met in an earlier band
+                    j = j[~same.reshape(len(j), BANDS, ROWS)[:, :b].all(2).any(1)]
+                if len(j):
+                    pairs.append(np.stack([np.full(len(j), i), j]))
+        if not pairs:
+            return
+        i, j = np.concatenate(pairs, 1)
+        more, less = np.empty(len(i), np.int64), np.empty(len(i), np.int64)
+        for a in range(0, len(i), 10_000):
+            x, y = regs[i[a : a + 10_000]], regs[j[a : a + 10_000]]
+            more[a : a + 10_000], less[a : a + 10_000] = (x > y).sum(1), (x < y).sum(1)
+        est = likely(more, less, M, n[i].astype(float), n[j].astype(float))
+        done = set()
+        for q in np.lexsort((j, i, -est)):
+            if est[q] < floor:
+                break
+            x, y = int(i[q]), int(j[q])
+            if (x, label[y]) in done or (y, label[x]) in done:
                 continue
-            more, less = (a["regs"][i] > b["regs"][ok]).sum(1), (a["regs"][i] < b["regs"][ok]).sum(1)
-            est = likely(more, less, M, np.full(len(ok), float(a["n"][i])), b["n"][ok].astype(float))
-            keep = est >= floor
-            if keep.any():
-                ok, est = ok[keep], est[keep]
-                if best_only:
-                    by = np.lexsort((-est, b["label"][ok]))
-                    ok = ok[by][np.concatenate([[True], np.diff(b["label"][ok][by]) != 0])]
-                yield np.full(len(ok), a["rid"][i]), b["rid"][ok]
+            if linked(g["set"][lo + x], g["set"][lo + y]):
+                done |= {(x, label[y]), (y, label[x])}
+                yield int(g["rid"][lo + x]), int(g["rid"][lo + y])
+
+    names = ("key", "blk", "other", "side", "rid", "label", "n", "band")
 
     def run(batches):
-        rest = None
-        done = False
+        rest: list[pa.RecordBatch] = []
+        for batch in _groups(batches, rest):
+            g = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names}
+            g["regs"] = _regs(batch.column(batch.schema.get_field_index("regs")))
+            g["set"] = batch.column(batch.schema.get_field_index("set")).to_pylist()
+            got = [x for a, b in zip(rest[0][:-1], rest[0][1:], strict=True) if b - a > 1 for x in compare(g, a, b)]
+            a, b = zip(*got, strict=True) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def _groups(batches, out):
+        """Batches of whole groups; their bounds are put into ``out``."""
+        held: list[pa.RecordBatch] = []
         source = iter(batches)
-        while not done:
+        while True:
             t = next(source, None)
-            done = t is None
-            table = pa.Table.from_batches([x for x in (rest, t) if x is not None and x.num_rows]) if any(x is not None and x.num_rows for x in (rest, t)) else None
-            if table is None:
-                continue
-            t = table.combine_chunks().to_batches()[0]
-            g = {c: t.column(t.schema.get_field_index(c)).to_numpy() for c in ("key", "blk", "other", "side", "rid", "label", "n")}
-            new = np.flatnonzero((g["key"][1:] != g["key"][:-1]) | (g["blk"][1:] != g["blk"][:-1]) | (g["other"][1:] != g["other"][:-1])) + 1
-            cuts = np.concatenate([[0], new, [t.num_rows]])
-            rest = None if done else t.slice(cuts[-2])
-            cuts = cuts if done else cuts[:-1]
-            if len(cuts) < 2:
-                continue
-            g["regs"] = _regs(t.column(t.schema.get_field_index("regs")).slice(0, cuts[-1]))
-            got = []
-            small = np.flatnonzero(np.diff(cuts) == 2)  # most buckets: two members
-            if len(small):
-                i = cuts[small]
-                j = i + 1
-                ra, rb = g["regs"][i], g["regs"][j]
-                na, nb = g["n"][i].astype(float), g["n"][j].astype(float)
-                ok = (g["label"][i] != g["label"][j]) & (np.minimum(na, nb) >= floor * np.maximum(na, nb)) & (likely((ra > rb).sum(1), (ra < rb).sum(1), M, na, nb) >= floor)
-                got.append((g["rid"][i][ok], g["rid"][j][ok]))
-            for x in np.flatnonzero(np.diff(cuts) > 2):
-                got.extend(compare({c: v[cuts[x] : cuts[x + 1]] for c, v in g.items()}))
-            if got:
-                yield pa.RecordBatch.from_arrays([i64(np.concatenate([x[0] for x in got])), i64(np.concatenate([x[1] for x in got]))], ["a", "b"])
-
-    cols = ["key", "blk", "other", "side", "rid", "label", "n", "regs"]
-    # The task's share of rows grows with no group: a group has at most two blocks.
+            if t is not None:
+                held.append(t)
+            if not held:
+                return
+            x = pa.Table.from_batches(held).combine_chunks()
+            whole = x.to_batches()[0] if x.num_rows else t
+            new = np.zeros(max(whole.num_rows - 1, 0), bool)
+            for c in ("key", "blk", "other"):
+                v = whole.column(whole.schema.get_field_index(c)).to_numpy()
+                new |= v[1:] != v[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [whole.num_rows]])
+            held = []
+            if t is not None:  # the last group may go on
+                held = [whole.slice(int(cuts[-2]))] if len(cuts) > 1 else []
+                whole, cuts = whole.slice(0, int(cuts[-2])), cuts[:-1]
+            if whole.num_rows:
+                out[:] = [cuts.tolist()]
+                yield whole
+            if t is None:
+                return
+
+    cols = [*names, "regs", "set"]
+    # A task's share of rows grows with no bucket: a group has at most two blocks.
     return members.select(*cols).repartition("key", "blk", "other").sortWithinPartitions("key", "blk", "other", "side", "rid").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -229,7 +273,7 @@ def mixed_buckets(keys: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFr
     mixed = named.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     dealt = named.join(mixed, "key").withColumn("own", own).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "mate").alias("blk"), F.greatest("own", "mate").alias("other"), (F.col("own") > F.col("mate")).cast("int").alias("side"), "rid", "label")
+    dealt = dealt.select("key", "band", F.least("own", "mate").alias("blk"), F.greatest("own", "mate").alias("other"), (F.col("own") > F.col("mate")).cast("int").alias("side"), "rid", "label")
     return dealt.join(reps.select("rid", "n", "regs"), "rid")
 
 
@@ -248,18 +292,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = sketches.where("n > 0 and doc_id is not null")
     reps = cut(sets.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "regs", "bands")).alias("x")).select("d1", "d2", "n", F.col("x.doc_id").alias("rid"), "x.regs", "x.bands"))
     # An id may come with several texts; then its classes are one node.
-    keys = reps.select("rid", F.explode("bands").alias("key"))
+    keys = reps.select("rid", F.posexplode("bands").alias("band", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rid").alias("hub")).where("m > 1").select("key", "hub")
-    keys = cut(keys.join(buckets, "key").select("key", "rid", "hub"))
+    keys = cut(keys.join(buckets, "key").select("key", "band", "rid", "hub"))
     texts = docs.join(reps.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rid"), "text")
     star = keys.where("rid > hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     edges = cut(confirmed(cut(estimated(star, reps, floor)), texts, k, percent))
     labels = cut(components(edges).withColumnRenamed("node", "rid"))
-    for best_only in (True, False):
-        found = cut(across(mixed_buckets(keys, labels, reps), floor, best_only))
-        tried = found.join(edges, ["a", "b"], "left_anti")
-        edges = cut(edges.union(confirmed(cut(tried), texts, k, percent)))
-        labels = cut(components(edges).withColumnRenamed("node", "rid"))
+    members = cut(mixed_buckets(keys, labels, reps))
+    sets = set_table(texts.join(members.select("rid").distinct(), "rid", "left_semi"), k).dropDuplicates(["rid", "set"])
+    edges = edges.union(across(members.join(sets, "rid"), floor, percent))
+    labels = cut(components(edges).withColumnRenamed("node", "rid"))
     classes = reps.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), "rid").join(labels, "rid", "left")
     classes = classes.select("c1", "c2", "cn", F.coalesce("label", "rid").alias("label"))
     out = sketches.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
