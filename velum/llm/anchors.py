@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.arrays import BYTE, Spans, U, buffers, byte_spans, chunks, first_of, i64, sliding_min, words
+from velum.llm.arrays import BYTE, Spans, U, byte_spans, chunks, first_of, i64, mix, sliding_min, words
 from velum.llm.shared import cut, drop
 
 #: Low bits of a k-gram's hash that give way to its position when minima are sought.
 PLACE = (1 << 28) - 1
-#: Groups of one k-gram with more distinct blocks than this are dealt out as single windows by the windows' hashes.
-BIG_GROUP = 2_000
 
 
 def byte_tokens(data: np.ndarray, offs: np.ndarray):
@@ -81,11 +79,13 @@ def members(texts: DataFrame, tokens: Callable, length: int, k: int) -> DataFram
     return texts.select("t1", "t2", "copies", "text").mapInArrow(run, "t1 long, t2 long, copies long, ah long, b1 long, b2 long, nwin int, back int, starts array<int>")
 
 
-def contents(blocks_: DataFrame, texts: DataFrame, tokens: Callable, length: int) -> DataFrame:
-    """Adds the tokens of each distinct block: ``shard, b1, b2, weight, origin, nwin, back, content``.
+def contents(blocks_: DataFrame, texts: DataFrame, tokens: Callable, length: int, width: int) -> tuple[DataFrame, Callable]:
+    """A table of texts with their distinct blocks, and what turns its batches into the blocks' tokens, within one Python worker.
 
-    ``content`` is the bytes of the block, ``origin`` its first window in the block that it came from and ``back`` the
-    anchor's place in it (0 for a single window). A block of a big group comes as its single windows, each with the window's hash as shard.
+    The rows made are ``shard, b1, b2, weight, origin, nwin, back, content``: ``content`` is the bytes of the block,
+    ``origin`` its first window in the block that it came from and ``back`` the anchor's place in it. A block of a
+    big group comes in slices of up to ``width`` windows, by their distance to the anchor; the shard of a slice is the
+    hash of what all windows at these distances have in common, so only blocks that agree there meet.
     """
     per_text = blocks_.groupBy("t1", "t2").agg(F.collect_list(F.struct("b1", "b2", "ah", "weight", "nwin", "back", "start", "big")).alias("blocks"))
     wide = texts.select("t1", "t2", "text").join(per_text, ["t1", "t2"]).select("text", "blocks")
@@ -99,27 +99,37 @@ def contents(blocks_: DataFrame, texts: DataFrame, tokens: Callable, length: int
                 col = lambda c: flat.field(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 doc = np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy())
                 b1, b2, ah, weight, nwin, back, big = (col(c) for c in ("b1", "b2", "ah", "weight", "nwin", "back", "big"))
-                l = col("start") + bounds[doc]
-                # Big groups: one row for each window.
-                reps = np.where(big, nwin, 1)
-                take = np.repeat(np.arange(len(l)), reps)
-                origin = np.arange(len(take)) - np.repeat(np.cumsum(reps) - reps, reps)
-                single = big[take].astype(bool)
-                l2 = l[take] + origin
-                n2 = np.where(single, 1, nwin[take])
-                shard = np.where(single, Spans(v0, 0).of(l2, l2 + length).view(np.int64), ah[take])
+                l, big = col("start") + bounds[doc], big.astype(bool)
+                anchor = l + back
+                lo, hi = back - nwin + 1, back  # distances of the last and the first window to the anchor
+                slices = np.where(big, hi // width - lo // width + 1, 1)
+                take = np.repeat(np.arange(len(l)), slices)
+                j = lo[take] // width + np.arange(len(take)) - np.repeat(np.cumsum(slices) - slices, slices)
+                cut_ = big[take]
+                far = np.where(cut_, np.minimum(hi[take], (j + 1) * width - 1), hi[take])
+                near = np.where(cut_, np.maximum(lo[take], j * width), lo[take])
+                begin, many = anchor[take] - far, far - near + 1
+                shard = ah[take].copy()
+                if cut_.any():
+                    a, d = anchor[take][cut_], j[cut_] * width
+                    shard[cut_] = mix(Spans(v0, 0).of(a - d, a - d - width + 1 + length) ^ mix(d.astype(U))).view(np.int64)
                 raw = data.tobytes()
-                content = pa.array([raw[x:y] for x, y in zip(s[l2].tolist(), e[l2 + n2 - 2 + length].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([i64(shard), i64(b1[take]), i64(b2[take]), i64(weight[take]), pa.array(origin.astype(np.int32)), pa.array(n2.astype(np.int32)), pa.array(np.where(single, 0, back[take]).astype(np.int32)), content], ["shard", "b1", "b2", "weight", "origin", "nwin", "back", "content"])
+                content = pa.array([raw[x:y] for x, y in zip(s[begin].tolist(), e[begin + many - 2 + length].tolist(), strict=True)], pa.binary())
+                i32 = lambda x: pa.array(x.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([i64(shard), i64(b1[take]), i64(b2[take]), i64(weight[take]), i32(begin - l[take]), i32(many), i32(far), content], ["shard", "b1", "b2", "weight", "origin", "nwin", "back", "content"])
 
-    return wide.mapInArrow(run, "shard long, b1 long, b2 long, weight long, origin int, nwin int, back int, content binary")
+    return wide, run
 
 
-def repeats(docs: DataFrame, tokens: Callable, length: int, k: int, resolve: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+CONTENTS = "shard long, b1 long, b2 long, weight long, origin int, nwin int, back int, content binary"
+
+
+def repeats(docs: DataFrame, tokens: Callable, length: int, k: int, resolve: Callable, big_group: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``docs`` (any columns, ``text``) with its text's digest ``t1, t2``; the distinct texts; and for each text with repeats ``spans``.
 
-    ``resolve`` gets :func:`contents` and the number of distinct blocks, and returns ``b1, b2, runs``: pairs of first and end of the windows of a block that
-    occur at least twice, by the sum of weights. ``spans`` is a list of (starts, runs). Null counts as empty text.
+    ``resolve`` gets what :func:`contents` returns and the number of distinct blocks, and returns ``b1, b2, runs``: pairs of first and end of the windows of a block that
+    occur at least twice, by the sum of weights. Groups of one k-gram with more than ``big_group`` distinct blocks are cut
+    into slices of ``width`` windows. ``spans`` is a list of (starts, runs). Null counts as empty text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(7), text)})
@@ -132,10 +142,10 @@ def repeats(docs: DataFrame, tokens: Callable, length: int, k: int, resolve: Cal
     kinds = mine.groupBy("b1", "b2").agg(F.first("ah").alias("ah"), weight.alias("weight"), *[F.first(c).alias(c) for c in ("nwin", "back", "t1", "t2")], F.first(F.col("starts")[0]).alias("start"))
     kinds = cut(kinds)
     n_kinds = kinds.count()
-    big = kinds.groupBy("ah").agg(F.count("*").alias("n")).where(F.col("n") > BIG_GROUP).select("ah", F.lit(True).alias("big"))
+    big = kinds.groupBy("ah").agg(F.count("*").alias("n")).where(F.col("n") > big_group).select("ah", F.lit(True).alias("big"))
     kinds2 = kinds.join(big, "ah", "left").withColumn("big", F.coalesce("big", F.lit(False)))
-    runs = cut(resolve(contents(kinds2, texts, tokens, length), n_kinds))
-    # The windows of a big group's block come back one by one.
+    runs = cut(resolve(*contents(kinds2, texts, tokens, length, width), n_kinds))
+    # The slices of a big group's block come back one by one.
     runs = runs.groupBy("b1", "b2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     spans = mine.join(runs, ["b1", "b2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("starts", "runs")).alias("spans"))
     return docs, texts, spans

@@ -15,13 +15,15 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from velum.llm.anchors import finish, repeats, word_tokens
+from velum.llm.anchors import CONTENTS, finish, repeats, word_tokens
 
 
 WINDOW = 35
 K = 8
 #: Words of distinct blocks in one automaton, besides a last group.
-SHARD_WORDS = 100_000
+SHARD_WORDS = 50_000
+#: Anchors with more distinct blocks are dealt out by single windows.
+BIG_GROUP, WIDTH = 5_000, 1
 
 
 class Automaton:
@@ -136,8 +138,8 @@ def resolve(length: int):
         b1, b2, lists = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(b1, pa.int64()), pa.array(b2, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["b1", "b2", "runs"])
 
-    def run(blocks: DataFrame, _: int) -> DataFrame:
-        return blocks.repartition("shard").sortWithinPartitions("shard").mapInArrow(shards, "b1 long, b2 long, runs array<int>")
+    def run(wide: DataFrame, blocks, _: int) -> DataFrame:
+        return wide.mapInArrow(blocks, CONTENTS).repartition("shard").sortWithinPartitions("shard").mapInArrow(shards, "b1 long, b2 long, runs array<int>")
 
     return run
 
@@ -151,7 +153,7 @@ def deduplicate(docs: DataFrame, length: int = WINDOW, k: int = K, *, keep_text:
     """
     new = ["n_words", "n_removed", "kept", "kept_sha256"]
     docs = docs.drop(*[c for c in docs.columns if c in {*new, "t1", "t2", "n", "n_spans"}])
-    keyed, texts, spans = repeats(docs, word_tokens, length, k, resolve(length))
+    keyed, texts, spans = repeats(docs, word_tokens, length, k, resolve(length), BIG_GROUP, WIDTH)
     done = finish(texts, spans, length, by_word=True, keep_text=keep_text).withColumnRenamed("n", "n_words").drop("n_spans")
     return keyed.join(done, ["t1", "t2"]).select(*docs.columns, *new)
 

@@ -24,7 +24,9 @@ K = 64
 #: Distinct blocks in a part, on average: some tens of MB.
 PART_BLOCKS = 20_000
 #: Bytes of blocks in a task's run.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 12 << 20
+#: Anchors with more distinct blocks are dealt out in slices of so many windows.
+BIG_GROUP, WIDTH = 20_000, 64
 
 
 def common(a: bytes, b: bytes, at: int = 0) -> int:
@@ -132,12 +134,12 @@ def resolve(length: int):
     names = [f.split()[0] for f in fields.split(", ")]
     kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
-    def run(blocks: DataFrame, n_blocks: int) -> DataFrame:
+    def run(wide: DataFrame, blocks, n_blocks: int) -> DataFrame:
         parts = max(1, n_blocks // PART_BLOCKS)
 
         def make_runs(batches):
             held, size = [], 0
-            for batch in batches:
+            for batch in blocks(batches):
                 held.append(batch)
                 size += batch.nbytes
                 if size > RUN_BYTES:
@@ -194,7 +196,7 @@ def resolve(length: int):
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(row)]]).astype(np.int32) * 2), pa.array(pairs))
             return pa.RecordBatch.from_arrays([i64(np.asarray(b1, np.int64)[some]), i64(np.asarray(b2, np.int64)[some]), lists], ["b1", "b2", "runs"])
 
-        return blocks.mapInArrow(make_runs, fields).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge_parts, "b1 long, b2 long, runs array<int>")
+        return wide.mapInArrow(make_runs, fields).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge_parts, "b1 long, b2 long, runs array<int>")
 
     return run
 
@@ -208,7 +210,7 @@ def deduplicate(docs: DataFrame, length: int = WINDOW, k: int = K, *, keep_text:
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
     docs = docs.drop(*[c for c in docs.columns if c in {*new, "t1", "t2", "n"}])
-    keyed, texts, spans = repeats(docs, byte_tokens, length, k, resolve(length))
+    keyed, texts, spans = repeats(docs, byte_tokens, length, k, resolve(length), BIG_GROUP, WIDTH)
     done = finish(texts, spans, length, by_word=False, keep_text=keep_text).withColumnRenamed("n", "n_bytes")
     return keyed.join(done, ["t1", "t2"]).select(*docs.columns, *new)
 
