@@ -81,7 +81,9 @@ def score_candidates(movies: DataFrame, summary: DataFrame) -> DataFrame:
     return rated.withColumn("candidateScore", round_even(a * col("dataReliabilityScore") + b * col("recencyScore") + c * col("userTagsScore"), 4)).drop("mostRated")
 
 
-CANDIDATE_ORDER = [col("candidateScore").desc(), col("recencyScore").desc(), col("dataReliabilityScore").desc(), col("ratingCount").desc(), col("averageRating").desc(), col("title"), col("movieId")]
+def candidate_order() -> list[Column]:
+    return [col("candidateScore").desc(), col("recencyScore").desc(), col("dataReliabilityScore").desc(), col("ratingCount").desc(), col("averageRating").desc(), col("title"), col("movieId")]
+
 
 
 def funnel(candidates: DataFrame, min_ratings: int, min_tags: int, first_year: int, last_year: int) -> DataFrame:
@@ -214,8 +216,10 @@ def roles(items: DataFrame, p: Policy) -> DataFrame:
     return items.withColumns({"isPublic": F.size("publicExclusionReasons") == 0, "isCollaborative": core})
 
 
-CATEGORY_RANK = F.when(col("suitabilityCategory") == "family_friendly", 0).when(col("suitabilityCategory") == "teen", 1).otherwise(2)
-PUBLIC_ORDER = [col("standDisplayScore").desc(), CATEGORY_RANK, col("recencyScore").desc(), col("candidateScore").desc(), col("dataReliabilityScore").desc(), col("ratingCount").desc(), F.coalesce("popularity", F.lit(0.0)).desc(), col("title"), col("movieId")]
+def public_order() -> list[Column]:
+    category = F.when(col("suitabilityCategory") == "family_friendly", 0).when(col("suitabilityCategory") == "teen", 1).otherwise(2)
+    return [col("standDisplayScore").desc(), category, col("recencyScore").desc(), col("candidateScore").desc(), col("dataReliabilityScore").desc(), col("ratingCount").desc(), F.coalesce("popularity", F.lit(0.0)).desc(), col("title"), col("movieId")]
+
 
 
 def ranked(items: DataFrame, order: list, name: str = "rank") -> DataFrame:

@@ -47,7 +47,7 @@ RATED = A.cte(*A.RATED)
 
 @query(BASE + " select movieId, title, ratingCount, averageRating, dataReliabilityScore, recencyScore, userTagsScore, candidateScore, row_number() over (order by candidateScore desc, recencyScore desc, dataReliabilityScore desc, ratingCount desc, averageRating desc, title, movieId) as \"rank\" from (select *  replace (round(recencyScore, 6) as recencyScore) from candidates)")
 def candidate_scores(spark, d):
-    return catalogue.ranked(A.candidates(spark, d).withColumn("recencyScore", F.round("recencyScore", 6)), catalogue.CANDIDATE_ORDER).select("movieId", "title", "ratingCount", "averageRating", "dataReliabilityScore", "recencyScore", "userTagsScore", "candidateScore", *big("rank"))
+    return catalogue.ranked(A.candidates(spark, d).withColumn("recencyScore", F.round("recencyScore", 6)), catalogue.candidate_order()).select("movieId", "title", "ratingCount", "averageRating", "dataReliabilityScore", "recencyScore", "userTagsScore", "candidateScore", *big("rank"))
 
 
 @query(BASE + """, f as (select ratingCount >= 20 as a, distinctTagCount >= 2 as b, tmdbId is not null as c, year between 1990 and 2020 as e from candidates)
@@ -179,7 +179,7 @@ def match_percentage(spark, d):
 USER = RATED + SESSIONS + """, centred as (select userId, movieId, rating, rating - avg(rating) over (partition by userId) as c from ratings),
 met as (select requestId, userId, sum((s.rating - 3) * c) as xy, sum((s.rating - 3.0) * (s.rating - 3.0)) as xx, sum(c * c) as yy, count(*)::bigint as overlap from sessions s join centred using (movieId) where userId <> requestId group by 1, 2 having count(*) >= 2),
 sims as (select *, xy / sqrt(xx * yy) as raw, xy / sqrt(xx * yy) * overlap / (overlap + 25) as similarity from met where xx > 0 and yy > 0),
-near as (select * from (select *, row_number() over (partition by requestId order by round(similarity, 9) desc, overlap desc, round(raw, 9) desc, userId) as rnk from sims where similarity > 0) where rnk <= 100)"""
+near as (select * from (select *, row_number() over (partition by requestId order by round(similarity, 9) desc, overlap desc, round(raw, 9) desc, userId) as rnk from sims where similarity > 1e-12) where rnk <= 100)"""
 
 
 def _near(spark, d):
@@ -285,7 +285,7 @@ ORDER = "standDisplayScore desc, case suitabilityCategory when 'family_friendly'
 
 
 def _public(spark, d):
-    return catalogue.ranked(A.items(spark, d).where("isPublic"), catalogue.PUBLIC_ORDER)
+    return catalogue.ranked(A.items(spark, d).where("isPublic"), catalogue.public_order())
 
 
 @query(FULL + f" select movieId, title, standDisplayScore, suitabilityCategory, row_number() over (order by {ORDER}) as \"rank\" from public")
@@ -343,7 +343,7 @@ def catalog_search(spark, d):
 
 @query(FULL + f" select movieId, standDisplayScore, (select count(*) from public)::bigint as total, ceil((select count(*) from public) / 24.0)::bigint as pages from public order by {ORDER} limit 24 offset 24")
 def catalog_page(spark, d):
-    return catalogue.page(A.items(spark, d).where("isPublic"), catalogue.PUBLIC_ORDER, 2, 24).select("movieId", "standDisplayScore", "total", "pages")
+    return catalogue.page(A.items(spark, d).where("isPublic"), catalogue.public_order(), 2, 24).select("movieId", "standDisplayScore", "total", "pages")
 
 
 # Content
