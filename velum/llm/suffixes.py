@@ -21,12 +21,12 @@ from velum.llm.arrays import i64, mix
 
 WINDOW = 400
 K = 64
-#: Distinct blocks in a part, on average: some tens of MB.
-PART_BLOCKS = 20_000
+#: Distinct blocks in a part, on average: about 10 MB.
+PART_BLOCKS = 10_000
 #: Bytes of blocks in a task's run.
 RUN_BYTES = 12 << 20
 #: Anchors with more distinct blocks are dealt out in slices of so many windows.
-BIG_GROUP, WIDTH = 20_000, 64
+BIG_GROUP, WIDTH = 8_000, 64
 
 
 def common(a: bytes, b: bytes, at: int = 0) -> int:
