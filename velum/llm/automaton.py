@@ -12,18 +12,20 @@ in the shard of its anchor.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from velum.llm.anchors import CONTENTS, finish, repeats, word_tokens
+from velum.llm.arrays import Spans, U, mix
 
 
 WINDOW = 35
 K = 8
 #: Words of distinct blocks in one automaton, besides a last group.
 SHARD_WORDS = 50_000
-#: Anchors with more distinct blocks are dealt out by single windows.
-BIG_GROUP, WIDTH = 5_000, 1
+#: Anchors with more distinct blocks are dealt out in slices of so many windows.
+BIG_GROUP, WIDTH = 30_000, 4
 
 
 class Automaton:
@@ -126,15 +128,36 @@ def resolve(length: int):
             yield decide(held)
 
     def decide(held):
+        number: dict[bytes, int] = {}
+        flat = np.fromiter((number.setdefault(w, len(number)) for x in held for w in x[4]), np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(x[4]) for x in held])])
+        weights = np.asarray([x[2] for x in held], np.float64)
+        # Windows whose hash comes once can't repeat; what is left is decided by the automaton, equal stretches once.
+        i = np.arange(max(len(flat) - length + 1, 0))
+        own = np.searchsorted(bounds, i, "right") - 1
+        i, own = (x[i + length <= bounds[own + 1]] for x in (i, own))
+        _, which = np.unique(Spans(mix(flat.astype(U) + U(1))).of(i, i + length), return_inverse=True)
+        often = np.bincount(which, weights[own])[which] > 1 if len(i) else np.zeros(0, bool)
+        i, own = i[often], own[often]
+        new = np.ones(len(i), bool)
+        new[1:] = (np.diff(i) != 1) | (np.diff(own) != 0)
+        first = np.flatnonzero(new)
+        stretches: dict[bytes, list] = {}
+        for a, z in zip(first, np.concatenate([first[1:], [len(i)]]), strict=True):
+            part = flat[i[a] : i[z - 1] + length]
+            found = stretches.setdefault(part.tobytes(), [part.tolist(), 0, []])
+            found[1] += held[own[a]][2]
+            found[2].append((int(own[a]), int(i[a] - bounds[own[a]])))
         machine = Automaton(length)
-        for _, _, weight, _, seq in held:
-            machine.add(seq, weight)
+        for seq, weight, _ in stretches.values():
+            machine.add(seq, int(weight))
         machine.close()
         out = []
-        for b1, b2, _, origin, seq in held:
+        for seq, _, places in stretches.values():
             found = runs([n > 1 for n in machine.often(seq)])
-            if found:
-                out.append((b1, b2, [x + origin for x in found]))
+            for block, shift in places if found else ():
+                b1, b2, _, origin, _ = held[block]
+                out.append((b1, b2, [x + origin + shift for x in found]))
         b1, b2, lists = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(b1, pa.int64()), pa.array(b2, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["b1", "b2", "runs"])
 
