@@ -170,7 +170,9 @@ def test_within_one():
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><header><a href=/>Site</a></header><nav><ul><li>Menu</ul></nav><div class=ad>Buy</div><article><h1>Head &amp; line</h1><p>One\n <b>bold</b>&nbsp;x<br><p>Two &lt;3<aside>side</aside><form>f<input></form></article><div class='comments'><article>No</article></div><footer>&copy; f</footer>"
 
 
-def test_templates(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_templates(spark, monkeypatch, most):
+    monkeypatch.setattr(templates, "BROADCAST_TEMPLATES", most)
     plain = "<html><body><div><div>Share with friends now</div><p>Text number {i} of this page.</p></div><p>Legal words of the site</p></body>"
     rows = [(1, "http://a.example/1", PAGE), (2, None, None), (3, "http://[bad", ""), (4, "http://a.example/1", PAGE)] + [(10 + i, f"http://b.example/{i}", plain.replace("{i}", str(i))) for i in range(8)]
     got = {r.page_id: r for r in templates.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -252,8 +252,7 @@ def extract(pages: DataFrame) -> DataFrame:
         shared = pages.sparkSession.sparkContext.broadcast(by_host)
         source = pages
     else:
-        name = F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit(""))
-        source = pages.withColumn("__host", name).join(found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("hash").alias("__list")), "__host", "left")
+        source = pages.withColumn("__host", F.udf(host, "string", useArrow=True)("url")).join(found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("hash").alias("__list")), "__host", "left")
 
     def run(batches):
         for batch in batches:
