@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm import corpus
-from velum.llm import automaton, lines, mixing, neighbours, packing, perplexity, search, sketch, suffixes, templates
+from velum.llm import automaton, lines, mixing, neighbours, packing, perplexity, search, sketch, suffixes, templates, wordgrams
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +106,46 @@ def test_kneser_ney_sums_to_one():
         assert math.isclose(float(np.exp(model.logp(every).astype(float)).sum()), 1.0, rel_tol=1e-4)
 
 
+def test_words_count_under_all_other_rows(spark, monkeypatch):
+    """Salad of known words and shouted text are as likely as prose to the byte model, which drops case and sees four bytes."""
+    rng = random.Random(9)
+    phrases = [" ".join("".join(rng.choice("abcdefghi") for _ in range(5)) for _ in range(6)) for _ in range(30)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(12)) for _ in range(60)]
+    salad = texts[0].split(" ") + texts[1].split(" ")
+    rng.shuffle(salad)
+    texts += [" ".join(salad), texts[2].upper(), "", None, texts[3]]
+    frame = spark.createDataFrame([(i, t, "en" if i % 7 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(wordgrams, "SHARD_BYTES", 4000)
+    got = {r.doc_id: r for r in perplexity.query(frame).collect()}
+    assert len(got) == len(texts)
+    clean = [got[i].log_perplexity for i in range(60)]
+    assert got[60].log_perplexity > max(clean) and got[61].log_perplexity > max(clean)
+
+    # Brute force, with all counts taken over the other rows; only the spelling of a word that no other row has is left to the byte model.
+    rows = [(i, "en" if i % 7 else None, (t or "").split()) for i, t in enumerate(texts)]
+    discount = lambda c: wordgrams.DISCOUNTS[min(c, 3)]
+    checked = 0
+    for i, lang, ws in rows:
+        own = [x for j, other, x in rows if other == lang and j != i]
+        pairs = collections.Counter(p for x in own for p in zip([None, *x], x, strict=False))
+        types = {p for _, other, x in rows if other == lang for p in zip([None, *x], x, strict=False)}
+        before, after = collections.Counter(w for _, w in pairs), collections.defaultdict(list)
+        for (h, _), c in pairs.items():
+            after[h].append(c)
+        if not ws or any(not before[w] for w in ws):
+            continue
+        total = 0.0
+        for h, w in zip([None, *ws], ws, strict=False):
+            c, n = pairs[h, w], sum(after[h])
+            if c:
+                total += math.log((c - discount(c)) / n)
+            else:
+                total += math.log((before[w] - wordgrams.DISCOUNT) / len(types)) + (math.log(sum(map(discount, after[h])) / n) if n else 0)
+        checked += 1
+        assert math.isclose(got[i].log_perplexity, -total / len(texts[i].encode()), rel_tol=1e-5), i
+    assert checked > 50
+
+
 # 3
 
 

@@ -1,10 +1,11 @@
 """Quality rules with a modified Kneser-Ney n-gram model.
 
-Symbols are UTF-8 bytes folded to 64 classes (letters without case, digits as one, marks, lead and continuation
+A document's words are scored under the word pairs of all other rows of its language (see ``wordgrams``, unbounded and
+sharded). Only words that no other row has are spelt by a byte model: its symbols are UTF-8 bytes folded to 64 classes (letters without case, digits as one, marks, lead and continuation
 bytes), n-grams of 4 symbols are counted per language over whole texts by Spark, and the model of a language is a few
 sorted arrays of n-gram keys. A language has at most 64**4 keys, whatever the corpus; models are broadcast in groups
-of languages of bounded size. A document is rejected by base rules or when its log-perplexity leaves its
-language's band, which is set from the quartiles of all documents that pass the base rules.
+of languages of bounded size. A document is rejected by base rules or when its log-perplexity, by words
+or by spelling, leaves its language's band, which is set from the quartiles of all documents that pass the base rules.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velum.llm import wordgrams
 from velum.llm.arrays import SPACE, Spans, U, byte_spans, chunks, i64, mix, split, words
 from velum.llm.shared import cut
 
@@ -27,6 +29,8 @@ GROUP_KEYS = 8_000_000
 #: Band: quartiles widened by so many interquartile ranges, and by at least MIN_WIDTH in log-perplexity.
 LOW_RANGES, HIGH_RANGES, MIN_WIDTH = 4.0, 5.0, 0.18
 SYMBOLS = b"#*$%&|<>"
+LOG, SPELLING = "log_perplexity", "spelling_perplexity"
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _classes() -> np.ndarray:
@@ -165,58 +169,70 @@ def measures(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``docs`` without text, plus the base counts, ``base_failed`` and ``log_perplexity`` (nats a byte; 0 without text) under its language's model."""
-    sizes = sorted(((r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    """``docs`` without text, plus the base counts ``log_perplexity`` of its words under all other rows of its language and ``spelling_perplexity`` under the byte model (nats a byte; 0 without text)."""
+    sizes = sorted(((r["lang"], r["n"], r["bytes"]) for r in counts.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n").alias("bytes")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     groups, room = [], 0
-    for lang, n in sizes:
+    for lang, n, size in sizes:
         if not groups or room + n > GROUP_KEYS:
             groups.append([])
             room = 0
-        groups[-1].append(lang)
+        groups[-1].append((lang, size))
         room += n
     lacks = [c for c in docs.columns if c != "text"]
     within = lambda langs: F.coalesce(F.col("lang").isin([x for x in langs if x is not None]), F.lit(False)) | (F.col("lang").isNull() if None in langs else F.lit(False))
     spark, out = docs.sparkSession, None
-    for i, langs in enumerate(groups or [[]]):
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "lang", "text"))
+    for i, group in enumerate(groups or [[]]):
+        langs = [x for x, _ in group]
         frame = counts.where(within(langs)).toPandas()
         models = {None if pd.isna(k) else k: Model(v["key"].to_numpy(), v["n"].to_numpy()) for k, v in frame.groupby("lang", dropna=False)}
         # The last pass also takes languages of which no text has a byte.
-        rows = docs if len(groups) < 2 else docs.where(within(langs)) if i + 1 < len(groups) else docs.where(~within([x for g in groups[:-1] for x in g]))
-        part = _scored(rows, spark.sparkContext.broadcast(models), lacks)
+        rows = keyed if len(groups) < 2 else keyed.where(within(langs)) if i + 1 < len(groups) else keyed.where(~within([x for g in groups[:-1] for x, _ in g]))
+        part = wordgrams.nats(rows.select(F.col("__key").alias("key"), "lang", "text"), _spelling(spark.sparkContext.broadcast(models)), sum(size for _, size in group))
         out = part if out is None else out.unionByName(part)
-    return out
+    scored = _measured(keyed, [*lacks, "__key"]).join(out, F.col("__key") == F.col("key"), "left")
+    return scored.select(*[F.col(f"`{c}`") for c in lacks], *MEASURES, F.coalesce("nats", F.lit(0.0)).alias("log_perplexity"), F.coalesce("spelt", F.lit(0.0)).alias("spelling_perplexity"))
+
+
+def _spelling(models):
+    def logp(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """For each byte of a chunk, its log-probability under the byte model of its row's language."""
+        k, out = keys(data, offs), np.zeros(len(data))
+        for lang, own in _by_language(rows, offs):
+            if lang in models.value:
+                out[own] = models.value[lang].logp(k[own])
+        return out
+
+    return logp
 
 
-def _scored(docs: DataFrame, models, lacks: list[str]) -> DataFrame:
+def _measured(docs: DataFrame, lacks: list[str]) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    extra = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in lacks] + [f"{c} long" for c in extra] + ["log_perplexity double"])
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in lacks] + [f"{c} long" for c in MEASURES])
 
     def run(batches):
         for batch in batches:
             for rows, data, offs in chunks(batch):
                 m = measures(data, offs)
-                k, logp = keys(data, offs), np.zeros(len(data))
-                for lang, own in _by_language(rows, offs):
-                    if lang in models.value:
-                        logp[own] = models.value[lang].logp(k[own])
-                sums = np.diff(np.concatenate([[0.0], np.cumsum(logp)])[offs])
-                nats = -sums / np.maximum(np.diff(offs), 1)
-                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in lacks] + [i64(m[c]) for c in extra] + [pa.array(nats)], lacks + extra + ["log_perplexity"])
+                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in lacks] + [i64(m[c]) for c in MEASURES], [*lacks, *MEASURES])
 
     # The columns are selected by name so that clashing extra ones keep their place.
     return docs.select(*[F.col(f"`{c}`") for c in [*lacks, "text"]]).mapInArrow(run, schema)
 
 
 def judge(scored: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """Adds ``base_failed``, the language's ``low`` and ``high`` and ``kept``. A language without documents that pass the base rules has no band and keeps none of them."""
+    """Adds ``base_failed``, the language's ``low`` and ``high`` (``spelling_low``, ``spelling_high``) and ``kept``. A language without documents that pass the base rules has no bands and keeps none of them."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    q = lambda p: F.percentile_approx("log_perplexity", p, 10_000)
-    bands = scored.where("not base_failed").groupBy(F.col("lang").alias("band_lang")).agg(q(0.25).alias("q1"), q(0.75).alias("q3"))
-    width = lambda ranges: F.greatest(ranges * (F.col("q3") - F.col("q1")), F.lit(MIN_WIDTH))
-    bands = bands.select("band_lang", (F.col("q1") - width(LOW_RANGES)).alias("low"), (F.col("q3") + width(HIGH_RANGES)).alias("high"))
-    return scored.join(bands, scored["lang"].eqNullSafe(bands["band_lang"]), "left").drop("band_lang").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)))
+    q = lambda c, p: F.percentile_approx(c, p, 10_000)
+    quartiles = [q(c, p).alias(f"{c}_{p}") for c in (LOG, SPELLING) for p in (0.25, 0.75)]
+    bands = scored.where("not base_failed").groupBy(F.col("lang").alias("band_lang")).agg(*quartiles)
+    q1, q3 = (lambda c: F.col(f"`{c}_0.25`")), (lambda c: F.col(f"`{c}_0.75`"))
+    width = lambda c, ranges: F.greatest(ranges * (q3(c) - q1(c)), F.lit(MIN_WIDTH))
+    edges = [e for c, name in ((LOG, ""), (SPELLING, "spelling_")) for e in ((q1(c) - width(c, LOW_RANGES)).alias(f"{name}low"), (q3(c) + width(c, HIGH_RANGES)).alias(f"{name}high"))]
+    bands = bands.select("band_lang", *edges)
+    inside = F.col(LOG).between(F.col("low"), F.col("high")) & F.col(SPELLING).between(F.col("spelling_low"), F.col("spelling_high"))
+    return scored.join(bands, scored["lang"].eqNullSafe(bands["band_lang"]), "left").drop("band_lang").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def rules(docs: DataFrame) -> DataFrame:
@@ -231,4 +247,4 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def query(documents: DataFrame) -> DataFrame:
-    return rules(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity")
+    return rules(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "spelling_perplexity")
