@@ -146,6 +146,22 @@ def test_words_count_under_all_other_rows(spark, monkeypatch):
     assert checked > 50
 
 
+def test_bands_follow_the_spread(spark):
+    """Quartiles of the documents that pass the base rules, widened by the spread alone: junk just outside goes, whatever the scale."""
+    rng = np.random.default_rng(4)
+    clean = [(float(a), float(b)) for a, b in zip(1.4 + 0.2 * rng.standard_normal(200), 1.3 + 0.02 * rng.standard_normal(200), strict=True)]
+    junk = [(1.4, 1.3 + 0.12), (1.4, 1.3 - 0.12), (1.4 + 2.0, 1.3), (1.4 - 3.0, 1.3)]
+    rows = [(i, "en", 100, 0, a, b) for i, (a, b) in enumerate(clean + junk)]
+    got = {r.doc_id: r.kept for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_repeat_words long, log_perplexity double, spelling_perplexity double")).collect()}
+    want = np.ones(len(rows), bool)
+    for place, (low, high) in ((4, (6, 4)), (5, (2, 2.5))):
+        x = np.asarray([r[place] for r in rows])
+        q1, q3 = np.quantile(x, [0.25, 0.75], method="inverted_cdf")
+        want &= (x >= q1 - low * (q3 - q1)) & (x <= q3 + high * (q3 - q1))
+    assert [got[i] for i in range(len(rows))] == want.tolist()
+    assert not any(want[200:]) and want[:200].mean() > 0.97
+
+
 # 3
 
 

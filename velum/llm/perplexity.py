@@ -26,8 +26,8 @@ ORDER = 4
 BITS = 6
 #: n-gram keys of the languages scored in one pass; a single language may have up to 64**4.
 GROUP_KEYS = 8_000_000
-#: Band: quartiles widened by so many interquartile ranges, and by at least MIN_WIDTH in log-perplexity.
-LOW_RANGES, HIGH_RANGES, MIN_WIDTH = 4.0, 5.0, 0.18
+#: Bands: quartiles widened below and above by so many interquartile ranges, set on labelled documents (README). Copies lie low by words; they are for deduplication.
+RANGES = {"log_perplexity": (6.0, 4.0), "spelling_perplexity": (2.0, 2.5)}
 SYMBOLS = b"#*$%&|<>"
 LOG, SPELLING = "log_perplexity", "spelling_perplexity"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -228,8 +228,8 @@ def judge(scored: DataFrame, min_words: int = 50, max_repeat_percent: int = 50)
     quartiles = [q(c, p).alias(f"{c}_{p}") for c in (LOG, SPELLING) for p in (0.25, 0.75)]
     bands = scored.where("not base_failed").groupBy(F.col("lang").alias("band_lang")).agg(*quartiles)
     q1, q3 = (lambda c: F.col(f"`{c}_0.25`")), (lambda c: F.col(f"`{c}_0.75`"))
-    width = lambda c, ranges: F.greatest(ranges * (q3(c) - q1(c)), F.lit(MIN_WIDTH))
-    edges = [e for c, name in ((LOG, ""), (SPELLING, "spelling_")) for e in ((q1(c) - width(c, LOW_RANGES)).alias(f"{name}low"), (q3(c) + width(c, HIGH_RANGES)).alias(f"{name}high"))]
+    width = lambda c, side: RANGES[c][side] * (q3(c) - q1(c))
+    edges = [e for c, name in ((LOG, ""), (SPELLING, "spelling_")) for e in ((q1(c) - width(c, 0)).alias(f"{name}low"), (q3(c) + width(c, 1)).alias(f"{name}high"))]
     bands = bands.select("band_lang", *edges)
     inside = F.col(LOG).between(F.col("low"), F.col("high")) & F.col(SPELLING).between(F.col("spelling_low"), F.col("spelling_high"))
     return scored.join(bands, scored["lang"].eqNullSafe(bands["band_lang"]), "left").drop("band_lang").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
