@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm import corpus
-from velum.llm import automaton, lines, mixing, neighbours, packing, perplexity, search, sketch, suffixes, templates, wordgrams
+from velum.llm import automaton, lines, mixing, neighbours, packing, perplexity, queries, search, sketch, suffixes, templates, wordgrams
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +51,22 @@ def test_search_equals_scoring_every_document(docs):
     assert asked > 10
 
 
+def test_registered_search_asks_with_every_term(docs, spark, tmp_path):
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.defaultdict(list)
+    for r in queries.QUERIES["op1_block_max_wand"](spark, str(tmp_path)).collect():
+        got[r.query_id].append((r["rank"], r.score))
+    rows = [(r.doc_id, collections.Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode())))) for r in docs.collect() if r.doc_id is not None]
+    n, mean = len(rows), sum(sum(c.values()) for _, c in rows) / len(rows)
+    df = collections.Counter(t for _, c in rows for t in c)
+    long = 0
+    for q, c in {i: c for i, c in rows if i % 50 == 0}.items():
+        scores = [sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)) for t in c if d[t]) for _, d in rows if any(d[t] for t in c)]
+        assert [round(s, 6) for s in sorted(scores, reverse=True)[:10]] == [round(s, 6) for _, s in sorted(got[q])], q
+        long += len(c) > 16
+    assert long > 10
+
+
 def test_wand_prunes_without_loss():
     rng = np.random.default_rng(3)
     lengths = rng.integers(5, 50, 500).astype(np.int32)

@@ -6,7 +6,7 @@ from velum.llm import automaton, lines, mixing, neighbours, packing, perplexity,
 from velum.llm.shared import table
 
 QUERIES = {
-    "op1_block_max_wand": lambda spark, d: search.query(table(spark, d, "documents")),
+    "op1_block_max_wand": lambda spark, d: search.query(table(spark, d, "documents"), most=None),
     "op2_perplexity_rules": lambda spark, d: perplexity.query(table(spark, d, "documents")),
     "op3_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
     "op4_line_dedup": lambda spark, d: lines.query(table(spark, d, "documents")),
