@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; those of which no word is left go."""
-    kept = lines.deduplicate(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = lines.deduplicate(docs, lines.SHORTEST, lines.NEAR_SHORTEST).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -232,6 +232,14 @@ def test_line_dedup(docs):
     assert near >= 2
 
 
+def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
+    texts = ["Les.\none two three four five six", "Les.\n\n\nother words", "one two three four five seven\nand four words here", "and four words there\nand four words here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
+    want = [texts[0], "\n\nother words", "and four words here", "and four words there"]
+    assert got == {i: (len(texts[i].split("\n")) - len(x.split("\n")), hashlib.sha256(x.encode()).hexdigest()) for i, x in enumerate(want)}
+
+
 def test_within_one():
     a = "a b c d".split()
     assert lines.within_one(a, "a b x d".split()) and lines.within_one(a, "a b d".split()) and lines.within_one(a, "a b c c d".split()) and lines.within_one(a, a)

@@ -24,6 +24,8 @@ from velum.llm.shared import cut, drop
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
+#: What the registered query and the pipeline ask for: every line with a word, and near ones where one edit is at most a fifth of the line.
+SHORTEST, NEAR_SHORTEST = 1, 5
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
@@ -200,5 +202,5 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     return keyed.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in out] + ["n_lines long", "n_removed long", "kept_sha256 string"]))
 
 
-def query(documents: DataFrame) -> DataFrame:
-    return deduplicate(documents.select("doc_id", "text"), keep_text=False)
+def query(documents: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+    return deduplicate(documents.select("doc_id", "text"), min_words, near_words, keep_text=False)

@@ -9,7 +9,7 @@ QUERIES = {
     "op1_block_max_wand": lambda spark, d: search.query(table(spark, d, "documents"), most=None),
     "op2_perplexity_rules": lambda spark, d: perplexity.query(table(spark, d, "documents")),
     "op3_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
-    "op4_line_dedup": lambda spark, d: lines.query(table(spark, d, "documents")),
+    "op4_line_dedup": lambda spark, d: lines.query(table(spark, d, "documents"), lines.SHORTEST, lines.NEAR_SHORTEST),
     "op5_site_templates": lambda spark, d: templates.query(table(spark, d, "pages")),
     "op6_suffix_automata": lambda spark, d: automaton.query(table(spark, d, "documents")),
     "op7_suffix_merge": lambda spark, d: suffixes.query(table(spark, d, "documents")),
