@@ -31,6 +31,14 @@ def test_equals_sql(spark, duck, name):
     assert tidy(got).equals(tidy(want))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
+def test_whole_index_has_the_text_block(spark):
+    whole = catalogue.QUERIES["content_index_whole"](spark, DATA).toPandas()
+    texts = whole[whole.feature.str.startswith("text:")]
+    assert len(texts) and set(texts.movieId) <= set(whole.movieId)
+    assert ((whole.weight**2).groupby(whole.movieId).sum() - 1).abs().max() < 1e-3
+
+
 def test_entry_point_has_a_twin_only_for_queries():
     import __spark_entry__ as entry
 

@@ -368,6 +368,11 @@ def _index(spark, d):
     return content.index(_structured(spark, d))
 
 
+def _whole_index(spark, d):
+    """The index of all six blocks. The SQL twins of the queries over :func:`_index` have five, so these queries have none."""
+    return content.index([*_structured(spark, d), content.text_block(A.items(spark, d))])
+
+
 @query(FULL + TOKENS + " select movieId, block, feature, round(weight, 6) as weight from structured")
 def tfidf_structured(spark, d):
     out = None
@@ -420,14 +425,39 @@ def content_score(spark, d):
     return content.content_score(_similar(spark, d), A.items(spark, d)).select("requestId", "movieId", *r6("score"))
 
 
+@query()
+def content_index_whole(spark, d):
+    return _whole_index(spark, d).select("movieId", "feature", *r6("weight"))
+
+
+@query()
+def user_profile_whole(spark, d):
+    return content.profile(A.sessions(spark, d), _whole_index(spark, d)).select("requestId", "kind", "feature", *r6("weight"))
+
+
+def _whole_similar(spark, d):
+    index, s = _whole_index(spark, d), A.sessions(spark, d)
+    return content.similarity(content.profile(s, index), index, s)
+
+
+@query()
+def content_similarity_whole(spark, d):
+    return _whole_similar(spark, d).select("requestId", "movieId", *r6("similarity"))
+
+
+@query()
+def content_score_whole(spark, d):
+    return content.content_score(_whole_similar(spark, d), A.items(spark, d)).select("requestId", "movieId", *r6("score"))
+
+
 @query()
 def profile_signals(spark, d):
-    return content.signals(content.profile(A.sessions(spark, d), _index(spark, d))).select("requestId", "kind", "display", *r6("weight"), *big("rank"))
+    return content.signals(content.profile(A.sessions(spark, d), _whole_index(spark, d))).select("requestId", "kind", "display", *r6("weight"), *big("rank"))
 
 
 @query()
 def mmr(spark, d):
-    return content.diversify(content.content_score(_similar(spark, d), A.items(spark, d)), _index(spark, d)).select("requestId", "movieId", *r6("mmr"), *big("rank"))
+    return content.diversify(content.content_score(_whole_similar(spark, d), A.items(spark, d)), _whole_index(spark, d)).select("requestId", "movieId", *r6("mmr"), *big("rank"))
 
 
 @query(FULL + SESSIONS + """ select requestId, case when f >= t + 2 then 'family' when t >= f + 2 then 'teen' else 'mixed' end as style from (select requestId, sum(case when suitabilityCategory = 'family_friendly' then 2 else 0 end + case when list_has_any(genres, ['Animation', 'Family']) then 1 else 0 end) as f,
