@@ -12,13 +12,12 @@ in the shard of its anchor.
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from velum.llm.anchors import CONTENTS, finish, repeats, word_tokens
-from velum.llm.arrays import Spans, U, mix
-
 
 WINDOW = 35
 K = 8
@@ -36,7 +35,7 @@ class Automaton:
         self.link, self.length, self.count = [-1], [0], [0]
         self.least = least
 
-    def add(self, seq: list, weight: int) -> None:
+    def add(self, seq: Sequence, weight: int) -> None:
         nxt, link, length, count, last = self.next, self.link, self.length, self.count, 0
         for i, c in enumerate(seq, 1):
             q = nxt[last].get(c)
@@ -81,7 +80,7 @@ class Automaton:
             if self.length[v] > self.least and self.length[self.link[v]] >= self.least:
                 self.count[self.link[v]] += self.count[v]
 
-    def often(self, seq: list) -> list[int]:
+    def often(self, seq: Sequence) -> list[int]:
         """For each position from ``least`` words on: occurrences of the ``least`` words that end there (0 if none)."""
         nxt, link, length, count, least = self.next, self.link, self.length, self.count, self.least
         out, v, matched = [], 0, 0
@@ -128,36 +127,22 @@ def resolve(length: int):
             yield decide(held)
 
     def decide(held):
+        # Equal blocks of several slices or anchors are one sequence with the sum of their occurrences.
         number: dict[bytes, int] = {}
-        flat = np.fromiter((number.setdefault(w, len(number)) for x in held for w in x[4]), np.int64)
-        bounds = np.concatenate([[0], np.cumsum([len(x[4]) for x in held])])
-        weights = np.asarray([x[2] for x in held], np.float64)
-        # Windows whose hash comes once can't repeat; what is left is decided by the automaton, equal stretches once.
-        i = np.arange(max(len(flat) - length + 1, 0))
-        own = np.searchsorted(bounds, i, "right") - 1
-        i, own = (x[i + length <= bounds[own + 1]] for x in (i, own))
-        _, which = np.unique(Spans(mix(flat.astype(U) + U(1))).of(i, i + length), return_inverse=True)
-        often = np.bincount(which, weights[own])[which] > 1 if len(i) else np.zeros(0, bool)
-        i, own = i[often], own[often]
-        new = np.ones(len(i), bool)
-        new[1:] = (np.diff(i) != 1) | (np.diff(own) != 0)
-        first = np.flatnonzero(new)
-        stretches: dict[bytes, list] = {}
-        for a, z in zip(first, np.concatenate([first[1:], [len(i)]]), strict=True):
-            part = flat[i[a] : i[z - 1] + length]
-            found = stretches.setdefault(part.tobytes(), [part.tolist(), 0, []])
-            found[1] += held[own[a]][2]
-            found[2].append((int(own[a]), int(i[a] - bounds[own[a]])))
+        sequences: dict[tuple, list] = {}
+        for b1, b2, weight, origin, seq in held:
+            found = sequences.setdefault(tuple(number.setdefault(w, len(number)) for w in seq), [0, []])
+            found[0] += weight
+            found[1].append((b1, b2, origin))
         machine = Automaton(length)
-        for seq, weight, _ in stretches.values():
+        for seq, (weight, _) in sequences.items():
             machine.add(seq, int(weight))
         machine.close()
         out = []
-        for seq, _, places in stretches.values():
+        for seq, (_, places) in sequences.items():
             found = runs([n > 1 for n in machine.often(seq)])
-            for block, shift in places if found else ():
-                b1, b2, _, origin, _ = held[block]
-                out.append((b1, b2, [x + origin + shift for x in found]))
+            if found:
+                out += [(b1, b2, [x + origin for x in found]) for b1, b2, origin in places]
         b1, b2, lists = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(b1, pa.int64()), pa.array(b2, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["b1", "b2", "runs"])
 
