@@ -31,58 +31,63 @@ def by_text(frame, docs_rows):
 # 1
 
 
-def test_search_equals_scoring_every_document(docs):
-    got = collections.defaultdict(list)
-    for r in search.query(docs).collect():
-        got[r.query_id].append((r["rank"], r.doc_id, r.score))
-    rows = [(r.doc_id, collections.Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode())))) for r in docs.collect() if r.doc_id is not None]
+def scored(rows):
+    """Brute force: for each query document, every document's rounded score with all terms of the query, best first."""
+    rows = [(i, collections.Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())))) for i, t in rows if i is not None]
     n, mean = len(rows), sum(sum(c.values()) for _, c in rows) / len(rows)
     df = collections.Counter(t for _, c in rows for t in c)
-    idf = {t: math.log1p((n - x + 0.5) / (x + 0.5)) for t, x in df.items()}
-    asked = 0
-    for q, c in {i: c for i, c in rows if i % 50 == 0}.items():
-        worth = sorted(((idf[t] * x / (x + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)), t) for t, x in c.items()), reverse=True)
-        if len(worth) > 16 and worth[15][0] - worth[16][0] < 1e-9:
-            continue  # a tie at the cut goes by hash
-        asked += 1
-        use = [t for _, t in worth[:16]]
-        want = sorted(((-sum(idf[t] * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)) for t in use if d[t]), i) for i, d in rows if any(d[t] for t in use)))[:10]
-        assert [round(-s, 6) for s, _ in want] == [round(s, 6) for _, _, s in sorted(got[q])]
-    assert asked > 10
-
-
-def test_registered_search_asks_with_every_term(docs, spark, tmp_path):
-    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    asked = collections.defaultdict(set)
+    for i, c in rows:
+        if i % 50 == 0:
+            asked[i] |= set(c)
+    out = {}
+    for q, c in asked.items():
+        scores = [(sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)) for t in sorted(c) if d[t]), i) for i, d in rows if any(d[t] for t in c)]
+        if scores:
+            out[q] = sorted((-round(s, 7), i) for s, i in scores)[:10]
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_search_equals_scoring_every_document(docs, spark, tmp_path, monkeypatch, small):
+    """All terms, ties by id, repeated ids (also with different texts); with many shards, query blocks and document blocks too."""
+    if small:
+        for name, value in (("SHARD_BYTES", 2000), ("QUERY_BLOCK", 300), ("BLOCK", 2), ("RUN", 64)):
+            monkeypatch.setattr(search, name, value)
+        monkeypatch.setattr(search.build, "__defaults__", (2000,))
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame([(50, "other words of one id"), (100, None)], "doc_id long, text string"))
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = collections.defaultdict(list)
     for r in queries.QUERIES["op1_block_max_wand"](spark, str(tmp_path)).collect():
-        got[r.query_id].append((r["rank"], r.score))
-    rows = [(r.doc_id, collections.Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode())))) for r in docs.collect() if r.doc_id is not None]
-    n, mean = len(rows), sum(sum(c.values()) for _, c in rows) / len(rows)
-    df = collections.Counter(t for _, c in rows for t in c)
-    long = 0
-    for q, c in {i: c for i, c in rows if i % 50 == 0}.items():
-        scores = [sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)) for t in c if d[t]) for _, d in rows if any(d[t] for t in c)]
-        assert [round(s, 6) for s in sorted(scores, reverse=True)[:10]] == [round(s, 6) for _, s in sorted(got[q])], q
-        long += len(c) > 16
-    assert long > 10
-
-
-def test_wand_prunes_without_loss():
+        got[r.query_id].append((r["rank"], r.doc_id, r.score))
+    want = scored([tuple(r) for r in frame.collect()])
+    assert set(got) == set(want)
+    for q, rows in want.items():
+        own = sorted(got[q])
+        assert [x[0] for x in own] == list(range(1, len(rows) + 1))
+        assert np.allclose([x[2] for x in own], [-s for s, _ in rows], rtol=0, atol=1e-6), q
+        if np.diff([s for s, _ in rows]).min(initial=1) > 1e-6:
+            assert [x[1] for x in own] == [i for _, i in rows], q
+
+
+def test_bounds_prune_without_loss():
+    """Documents that the bounds leave out are many, and none of them is among the best."""
     rng = np.random.default_rng(3)
-    lengths = rng.integers(5, 50, 500).astype(np.int32)
-    norms = 1.2 * (0.25 + 0.75 * lengths / 20)
-    lists = []
-    for share in (0.02, 0.3, 0.8):
-        d = np.flatnonzero(rng.random(500) < share).astype(np.int32)
-        c = rng.integers(1, 6, len(d)).astype(np.int32)
-        at = np.arange(0, len(d), search.BLOCK)
-        lists.append((search.Postings(d.tobytes(), c.tobytes(), np.maximum.reduceat(c, at).tobytes(), np.minimum.reduceat(lengths[d], at).tobytes(), 20.0), float(2 - 2 * share + 0.01)))
-    score = np.zeros(500)
-    for p, w in lists:
-        c = p.counts.astype(float)
-        score[p.docs] += w * (c * 2.2 / (c + norms[p.docs]))
-    want = sorted(((-s, i) for i, s in enumerate(score) if s > 0))[:10]
-    assert [(round(-s, 9), i) for s, i in want] == [(round(s, 9), i) for s, i in search.wand(lists, norms, 10)]
+    lengths = np.sort(rng.integers(5, 60, 2000)).astype(np.int32)
+    lists = [np.flatnonzero(rng.random(2000) < share) for share in (0.01, 0.02, 0.3, 0.5, 0.8)]
+    counts = [rng.integers(1, 5, len(d)) for d in lists]
+    wanted = np.arange(10, 15, dtype=np.uint64)
+    row = {"ids": np.arange(2000) * 3, "lengths": lengths, "term": np.diff(wanted, prepend=np.uint64(0)), "df": np.asarray([len(d) for d in lists], np.int32), "docs": np.concatenate([np.diff(d, prepend=0) for d in lists]).astype(np.int32), "counts": np.concatenate(counts).astype(np.int32)}
+    shard = search.Shard({k: search.squeeze(v) for k, v in row.items()}, wanted, 30.0)
+    weights = np.asarray([4.0, 3.5, 1.0, 0.7, 0.2])
+    score = np.zeros(2000)
+    for d, c, w in zip(lists, counts, weights, strict=True):
+        score[d] += w * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * lengths[d] / 30.0))
+    ids, scores, full = search.answer(shard, np.arange(5), weights, 10)
+    want = np.lexsort((np.arange(2000), -score.round(9)))[:10]
+    assert ids.tolist() == (want * 3).tolist() and np.allclose(scores, score[want])
+    assert (shard.column[2:] >= 0).all() and full < 400
+    assert not len(search.answer(shard, np.arange(5), weights, 10, 100.0)[0])
 
 
 # 2
@@ -307,7 +312,19 @@ def test_automaton_counts():
     m.add(text, 1)
     m.add("a b a".split(), 5)
     m.close()
-    assert m.often(text) == [8, 1, 8, 1, 1, 1, 8][: len(m.often(text))] or m.often(text)[0] == 8
+    assert m.often(text) == [8, 1, 8, 1, 1, 1, 8]
+    assert m.often("b a b a x a b".split()) == [1, 8, 0, 0, 0]
+
+
+def test_automaton_decides(monkeypatch):
+    """A shard's runs are those of the matching statistics, and another automaton gives others."""
+    w = [b"w%d" % i for i in range(12)]
+    held = [(1, 1, 1, 0, w[:8]), (2, 2, 1, 5, [b"x", *w[1:6], b"y"]), (3, 3, 2, 0, [b"z", b"a", b"b", b"c"]), (4, 4, 1, 0, [b"p", b"q", b"r", b"s"])]
+    found = lambda: {r["b1"]: r["runs"] for r in automaton.decide(held, 4).to_pylist()}
+    assert found() == {1: [1, 3], 2: [6, 8], 3: [0, 1]}
+    for often, want in ((2, {1: [0, 5], 2: [5, 9], 3: [0, 1], 4: [0, 1]}), (0, {})):
+        monkeypatch.setattr(automaton.Automaton, "often", lambda self, seq, often=often: [often] * max(len(seq) - self.least + 1, 0))
+        assert found() == want
 
 
 # 8

@@ -140,3 +140,25 @@ def distinct_sorted(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     new[1:] = h[1:] != h[:-1]
     new[bounds[:-1][bounds[:-1] < len(h)]] = True
     return h[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """An array of integers or floats as zstd-packed byte planes, after its length."""
+    x = np.ascontiguousarray(x)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + (pa.Codec("zstd").compress(planes.tobytes(), asbytes=True) if len(x) else b"")
+
+
+def expand(raw: bytes, kind) -> np.ndarray:
+    """What :func:`squeeze` packed, as an array of ``kind``."""
+    n, kind = int.from_bytes(raw[:8], "little"), np.dtype(kind)
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[8:], decompressed_size=n * kind.itemsize, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges ``start, start + 1, ...`` of each size, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)

@@ -111,40 +111,42 @@ def runs(flags: list[bool]) -> list[int]:
     return out
 
 
+def decide(held: list[tuple], length: int) -> pa.RecordBatch:
+    """``b1, b2, runs`` of a shard's blocks ``(b1, b2, weight, origin, words)``, as the matching statistics of its automaton tell."""
+    # Equal blocks of several slices or anchors are one sequence with the sum of their occurrences.
+    number: dict[bytes, int] = {}
+    sequences: dict[tuple, list] = {}
+    for b1, b2, weight, origin, seq in held:
+        found = sequences.setdefault(tuple(number.setdefault(w, len(number)) for w in seq), [0, []])
+        found[0] += weight
+        found[1].append((b1, b2, origin))
+    machine = Automaton(length)
+    for seq, (weight, _) in sequences.items():
+        machine.add(seq, int(weight))
+    machine.close()
+    out = []
+    for seq, (_, places) in sequences.items():
+        found = runs([n > 1 for n in machine.often(seq)])
+        if found:
+            out += [(b1, b2, [x + origin for x in found]) for b1, b2, origin in places]
+    b1, b2, lists = zip(*out, strict=True) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(b1, pa.int64()), pa.array(b2, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["b1", "b2", "runs"])
+
+
 def resolve(length: int):
     def shards(batches):
         held, words_, last = [], 0, None
         for batch in batches:
             for shard, b1, b2, weight, origin, content in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "b1", "b2", "weight", "origin", "content")), strict=True):
                 if shard != last and words_ > SHARD_WORDS:
-                    yield decide(held)
+                    yield decide(held, length)
                     held, words_ = [], 0
                 last = shard
                 seq = content.split()
                 held.append((b1, b2, weight, origin, seq))
                 words_ += len(seq)
         if held:
-            yield decide(held)
-
-    def decide(held):
-        # Equal blocks of several slices or anchors are one sequence with the sum of their occurrences.
-        number: dict[bytes, int] = {}
-        sequences: dict[tuple, list] = {}
-        for b1, b2, weight, origin, seq in held:
-            found = sequences.setdefault(tuple(number.setdefault(w, len(number)) for w in seq), [0, []])
-            found[0] += weight
-            found[1].append((b1, b2, origin))
-        machine = Automaton(length)
-        for seq, (weight, _) in sequences.items():
-            machine.add(seq, int(weight))
-        machine.close()
-        out = []
-        for seq, (_, places) in sequences.items():
-            found = runs([n > 1 for n in machine.often(seq)])
-            if found:
-                out += [(b1, b2, [x + origin for x in found]) for b1, b2, origin in places]
-        b1, b2, lists = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(b1, pa.int64()), pa.array(b2, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["b1", "b2", "runs"])
+            yield decide(held, length)
 
     def run(wide: DataFrame, blocks, _: int) -> DataFrame:
         return wide.mapInArrow(blocks, CONTENTS).repartition("shard").sortWithinPartitions("shard").mapInArrow(shards, "b1 long, b2 long, runs array<int>")
