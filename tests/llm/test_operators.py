@@ -52,7 +52,7 @@ def scored(rows):
 def test_search_equals_scoring_every_document(docs, spark, tmp_path, monkeypatch, small):
     """All terms, ties by id, repeated ids (also with different texts); with many shards, query blocks and document blocks too."""
     if small:
-        for name, value in (("SHARD_BYTES", 2000), ("QUERY_BLOCK", 300), ("BLOCK", 2), ("RUN", 64)):
+        for name, value in (("SHARD_BYTES", 2000), ("QUERY_BLOCK", 300), ("RUN", 64)):
             monkeypatch.setattr(search, name, value)
         monkeypatch.setattr(search.build, "__defaults__", (2000,))
     frame = docs.select("doc_id", "text").union(spark.createDataFrame([(50, "other words of one id"), (100, None)], "doc_id long, text string"))
@@ -83,11 +83,11 @@ def test_bounds_prune_without_loss():
     score = np.zeros(2000)
     for d, c, w in zip(lists, counts, weights, strict=True):
         score[d] += w * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * lengths[d] / 30.0))
-    ids, scores, full = search.answer(shard, np.arange(5), weights, 10)
+    ids, scores, full = search.answer(shard, np.arange(5), weights, 10, shard.bounds([np.arange(5)], weights)[0])
     want = np.lexsort((np.arange(2000), -score.round(9)))[:10]
     assert ids.tolist() == (want * 3).tolist() and np.allclose(scores, score[want])
     assert (shard.column[2:] >= 0).all() and full < 400
-    assert not len(search.answer(shard, np.arange(5), weights, 10, 100.0)[0])
+    assert not len(search.answer(shard, np.arange(5), weights, 10, shard.bounds([np.arange(5)], weights)[0], 100.0)[0])
 
 
 # 2
