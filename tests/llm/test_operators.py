@@ -142,28 +142,37 @@ def test_words_count_under_all_other_rows(spark, monkeypatch):
     clean = [got[i].log_perplexity for i in range(60)]
     assert got[60].log_perplexity > max(clean) and got[61].log_perplexity > max(clean)
 
-    # Brute force, with all counts taken over the other rows; only the spelling of a word that no other row has is left to the byte model.
+    # Brute force, with counts of pairs and histories taken over the other rows; only the spelling of a word that no other row has is left to the byte model.
     rows = [(i, "en" if i % 7 else None, (t or "").split()) for i, t in enumerate(texts)]
+
+    def pairs_of(ws):
+        raw = np.frombuffer(" ".join(ws).encode(), np.uint8)
+        return list(zip(wordgrams.events(raw, np.asarray([0, len(raw)]))[4].tolist(), ws, strict=True))
+
     discount = lambda c: wordgrams.DISCOUNTS[min(c, 3)]
     checked = 0
-    for i, lang, ws in rows:
-        own = [x for j, other, x in rows if other == lang and j != i]
-        pairs = collections.Counter(p for x in own for p in zip([None, *x], x, strict=False))
-        types = {p for _, other, x in rows if other == lang for p in zip([None, *x], x, strict=False)}
-        before, after = collections.Counter(w for _, w in pairs), collections.defaultdict(list)
-        for (h, _), c in pairs.items():
-            after[h].append(c)
-        if not ws or any(not before[w] for w in ws):
-            continue
-        total = 0.0
-        for h, w in zip([None, *ws], ws, strict=False):
-            c, n = pairs[h, w], sum(after[h])
-            if c:
-                total += math.log((c - discount(c)) / n)
-            else:
-                total += math.log((before[w] - wordgrams.DISCOUNT) / len(types)) + (math.log(sum(map(discount, after[h])) / n) if n else 0)
-        checked += 1
-        assert math.isclose(got[i].log_perplexity, -total / len(texts[i].encode()), rel_tol=1e-5), i
+    for lang in ("en", None):
+        every = collections.Counter(p for _, other, ws in rows if other == lang for p in pairs_of(ws))
+        totals = np.zeros(wordgrams.CLASSES)
+        for (h, _), c in every.items():
+            totals[h] += c
+        group = wordgrams.groups(totals)
+        left, mass = np.zeros(wordgrams.GROUPS), np.bincount(group, totals, minlength=wordgrams.GROUPS)
+        for (h, _), c in every.items():
+            left[group[h]] += discount(c)
+        for i, other, ws in rows:
+            if other != lang:
+                continue
+            rest = every - collections.Counter(pairs_of(ws))
+            before = collections.Counter(w for _, w in rest)
+            if not ws or any(not before[w] for w in ws):
+                continue
+            total = 0.0
+            for h, w in pairs_of(ws):
+                c = rest[h, w]
+                total += math.log((c - discount(c)) / totals[h]) if c else math.log(left[group[h]] / mass[group[h]] * (before[w] - wordgrams.DISCOUNT) / len(every))
+            checked += 1
+            assert math.isclose(got[i].log_perplexity, -total / len(texts[i].encode()), rel_tol=1e-5), i
     assert checked > 50
 
 

@@ -66,22 +66,24 @@ def keys(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out
 
 
-def _by_language(batch: pa.RecordBatch, offs: np.ndarray) -> Iterator[tuple[str | None, np.ndarray]]:
+def _by_language(batch: pa.RecordBatch, offs: np.ndarray) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+    """Each language of a chunk, which bytes and which rows are its."""
     codes, names = pd.factorize(batch.column(batch.schema.get_field_index("lang")).to_pandas(), use_na_sentinel=False)
     for i, name in enumerate(names):
-        yield (None if pd.isna(name) else name), np.repeat(codes == i, np.diff(offs))
+        yield (None if pd.isna(name) else name), np.repeat(codes == i, np.diff(offs)), codes == i
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """``lang, key, n``: how often each n-gram of ORDER symbols ends in the texts of a language. A null language is its own."""
+    """``lang, key, n``: how often each n-gram of ORDER symbols ends in the texts of a language; negative keys count the words after each history class. A null language is its own."""
 
     def partial(batches):
         held: dict[str | None, list] = {}
         for batch in batches:
             for rows, data, offs in chunks(batch):
-                k = keys(data, offs)
-                for lang, own in _by_language(rows, offs):
-                    held.setdefault(lang, []).append(np.unique(k[own], return_counts=True))
+                k = keys(data, offs).astype(np.int64)
+                doc, history = wordgrams.class_totals(data, offs)
+                for lang, own, mine in _by_language(rows, offs):
+                    held.setdefault(lang, []).append(np.unique(np.concatenate([-1 - history[mine[doc]], k[own]]), return_counts=True))
                     if len(held[lang]) >= 16:
                         held[lang] = [merge(held[lang])]
         for lang, parts in held.items():
@@ -170,7 +172,7 @@ def measures(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """``docs`` without text, plus the base counts ``log_perplexity`` of its words under all other rows of its language and ``spelling_perplexity`` under the byte model (nats a byte; 0 without text)."""
-    sizes = sorted(((r["lang"], r["n"], r["bytes"]) for r in counts.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n").alias("bytes")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    sizes = sorted(((r["lang"], r["n"], r["bytes"]) for r in counts.where("key >= 0").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n").alias("bytes")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     groups, room = [], 0
     for lang, n, size in sizes:
         if not groups or room + n > GROUP_KEYS:
@@ -185,10 +187,14 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
     for i, group in enumerate(groups or [[]]):
         langs = [x for x, _ in group]
         frame = counts.where(within(langs)).toPandas()
-        models = {None if pd.isna(k) else k: Model(v["key"].to_numpy(), v["n"].to_numpy()) for k, v in frame.groupby("lang", dropna=False)}
+        models, totals = {}, {}
+        for lang, own in frame.groupby("lang", dropna=False):
+            lang, (key, n) = None if pd.isna(lang) else lang, (own[c].to_numpy() for c in ("key", "n"))
+            models[lang] = Model(key[key >= 0], n[key >= 0])
+            totals[lang] = np.bincount(-1 - key[key < 0], n[key < 0], minlength=wordgrams.CLASSES)
         # The last pass also takes languages of which no text has a byte.
         rows = keyed if len(groups) < 2 else keyed.where(within(langs)) if i + 1 < len(groups) else keyed.where(~within([x for g in groups[:-1] for x, _ in g]))
-        part = wordgrams.nats(rows.select(F.col("__key").alias("key"), "lang", "text"), _spelling(spark.sparkContext.broadcast(models)), sum(size for _, size in group))
+        part = wordgrams.nats(rows.select(F.col("__key").alias("key"), "lang", "text"), _spelling(spark.sparkContext.broadcast(models)), sum(size for _, size in group), totals)
         out = part if out is None else out.unionByName(part)
     scored = _measured(keyed, [*lacks, "__key"]).join(out, F.col("__key") == F.col("key"), "left")
     return scored.select(*[F.col(f"`{c}`") for c in lacks], *MEASURES, F.coalesce("nats", F.lit(0.0)).alias("log_perplexity"), F.coalesce("spelt", F.lit(0.0)).alias("spelling_perplexity"))
@@ -198,7 +204,7 @@ def _spelling(models):
     def logp(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """For each byte of a chunk, its log-probability under the byte model of its row's language."""
         k, out = keys(data, offs), np.zeros(len(data))
-        for lang, own in _by_language(rows, offs):
+        for lang, own, _ in _by_language(rows, offs):
             if lang in models.value:
                 out[own] = models.value[lang].logp(k[own])
         return out
