@@ -115,14 +115,15 @@ def held_out(doc_id) -> object:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Space:
-    """Fits on at most ``per_label`` documents of each quality label that aren't held out. Null labels and texts are left out; of repeated rows one is taken."""
+    """Fits on at most ``per_label`` documents of each quality label that aren't held out. Null labels and texts are left out; of rows of one id the smallest text is taken, and an id with both labels stands for both."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", (F.col("quality") > 0).cast("int").alias("quality"))
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picked = None
     for q in (0, 1):
-        part = known.where(F.col("quality") == q).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), "doc_id").limit(per_label)
+        part = known.where(F.col("quality") == q).distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), "doc_id").limit(per_label)
         picked = part if picked is None else picked.unionByName(part)
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_label ids
+    # At most 2 * per_label ids; of rows of one id the smallest text, so that reruns agree.
+    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -131,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Space
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([x.astype(np.float16).tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], ["doc_id", "quality", "counts", "shares"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.select("doc_id", "text", "quality").mapInArrow(run, f"doc_id {kind}, quality int, counts binary, shares binary").dropDuplicates(["doc_id", "quality"]).toPandas()
-    got = got.sort_values(["doc_id", "quality", "counts"], kind="stable").head(2 * per_label)
+    got = sample.select("doc_id", "text", "quality").mapInArrow(run, f"doc_id {kind}, quality int, counts binary, shares binary").toPandas()
+    got = got.sort_values(["doc_id", "quality"], kind="stable")
     matrix = lambda c, t: np.frombuffer(b"".join(got[c]), t).reshape(len(got), -1).astype(np.float32) if len(got) else np.zeros((0, BUCKETS if c == "counts" else 10), np.float32)
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.5

@@ -21,8 +21,8 @@ from velum.llm.shared import cut
 
 SIZE = 1024
 END_ID = 2
-#: Ranks are counted within (length, slot); more slots, smaller groups.
-SLOTS = 64
+#: Ranks are counted within (length, slot): slots have about SLOT_PIECES pieces, more only where there would be over MOST_SLOTS of them.
+SLOT_PIECES, MOST_SLOTS = 500, 100_000
 
 
 def default_vocabulary() -> str:
@@ -129,16 +129,21 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int =
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """``pieces`` (a written table with ``doc_id, piece, length``) plus ``sequence_id`` and ``offset``.
 
-    Ties between pieces of one length go by id and piece; repeated rows are pieces of their own.
+    Ties between pieces of one length go by id and piece; repeated rows are pieces of their own. Pieces of the full length
+    need no rank: their sequences have negative numbers.
     """
-    slot = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLOTS)).cast("int")
-    slotted = pieces.withColumn("__slot", slot)
-    counts = slotted.groupBy("length", "__slot").agg(F.count("*").alias("n")).collect()  # at most size * SLOTS numbers
-    table = np.zeros((size + 1, SLOTS), np.int64)
-    for r in counts:
-        table[r["length"], r["__slot"]] = r["n"]
-    rows, _ = plan({int(k): int(table[k].sum()) for k in np.flatnonzero(table.sum(1))}, size)
-    before = np.cumsum(table, axis=1) - table
+    total = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect() if r["length"] < size}  # below size numbers
+    rows, _ = plan(total, size)
+    each = max(SLOT_PIECES, sum(total.values()) // MOST_SLOTS)
+    slots = np.asarray([1 + total.get(i, 0) // each for i in range(size + 1)])
+    first = np.cumsum(slots) - slots
+    slot = F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.lit(slots.tolist()), F.col("length").cast("int") + 1)).cast("int")
+    slotted = pieces.where(F.col("length") < size).withColumn("__slot", slot)
+    before = np.zeros(slots.sum(), np.int64)
+    for r in slotted.groupBy("length", "__slot").agg(F.count("*").alias("n")).collect():  # at most MOST_SLOTS + 2 * size numbers
+        before[first[r["length"]] + r["__slot"]] = r["n"]
+    before = np.cumsum(before) - before
+    before -= np.repeat(before[first], slots)
     rank = F.row_number().over(Window.partitionBy("length", "__slot").orderBy("doc_id", "piece")).cast("long")
     fields = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     schema = ", ".join([f"`{c}` {t}" for c, t in fields.items()] + ["sequence_id long", "offset long"])
@@ -148,10 +153,11 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             if b.num_rows:
                 get = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 lengths = get("length")
-                sequence, offset = place(lengths, before[lengths, get("__slot")] + get("__rank") - 1, rows)
+                sequence, offset = place(lengths, before[first[lengths] + get("__slot")] + get("__rank") - 1, rows)
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in fields] + [i64(sequence), i64(offset)], [*fields, "sequence_id", "offset"])
 
-    return slotted.withColumn("__rank", rank).mapInArrow(run, schema)
+    alone = pieces.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return slotted.withColumn("__rank", rank).mapInArrow(run, schema).unionByName(alone)
 
 
 def query(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -56,13 +56,14 @@ NEWLINE = np.arange(256) == 10
 
 def keys(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
     """For each byte, the n-gram that ends there; spaces stand before a text."""
-    pad, lens = order - 1, np.diff(offs)
-    room = np.zeros(len(data) + pad * len(lens), np.uint32)
-    at = np.arange(len(data)) + pad * np.repeat(np.arange(1, len(lens) + 1), lens)
-    room[at] = CLASS[data]
-    out = room[at].copy()
-    for j in range(1, order):
-        out |= room[at - j] << np.uint32(BITS * j)
+    n, symbols = len(data), CLASS[data]
+    out = symbols.astype(np.uint32)
+    for j in range(1, min(order, n)):
+        part = np.zeros(n, np.uint32)
+        part[j:] = symbols[:-j].astype(np.uint32) << np.uint32(BITS * j)
+        early = (offs[:-1, None] + np.arange(j)).ravel()  # bytes with fewer than j before them in their text; a space is class 0
+        part[early[early < n]] = 0
+        out |= part
     return out
 
 
@@ -203,7 +204,7 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
 def _spelling(models):
     def logp(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """For each byte of a chunk, its log-probability under the byte model of its row's language."""
-        k, out = keys(data, offs), np.zeros(len(data))
+        k, out = keys(data, offs), np.zeros(len(data), np.float32)
         for lang, own, _ in _by_language(rows, offs):
             if lang in models.value:
                 out[own] = models.value[lang].logp(k[own])

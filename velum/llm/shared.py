@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a new local one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a new local one only where that is unset and Spark runs in one process (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="velum-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

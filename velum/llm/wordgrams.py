@@ -29,7 +29,7 @@ GROUPS = 8
 DISCOUNTS = np.asarray([0.0, 0.7, 1.05, 1.4])
 DISCOUNT = 0.75
 #: Bytes of text whose words make one shard, on average; the number of shards grows with the corpus.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 24 << 20
 #: Bits of a word's hash that tell it from others.
 WORD_BITS = 48
 START = U(0x5851F42D4C957F2D)
@@ -63,13 +63,13 @@ def grams(docs: DataFrame, spelling, shards: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for rows, data, offs in chunks(batch, limit=8 << 20):
+            for rows, data, offs in chunks(batch, limit=4 << 20):
                 keys = rows.column(0).to_numpy()
                 total = np.concatenate([[0.0], np.cumsum(spelling(rows, data, offs), dtype=np.float64)])
                 codes, langs = pd.factorize(rows.column(1).to_pandas(), use_na_sentinel=False)
                 s, e, doc, word, history = events(data, offs)
-                by = np.lexsort((doc * CLASSES + history, word))
-                word, doc, history, at = word[by], doc[by], history[by], by
+                at = np.lexsort((doc * CLASSES + history, word))
+                word, doc, history = word[at], doc[at], history[at]
                 first = np.flatnonzero((np.diff(word, prepend=U(0)) != 0) | (np.diff(doc * CLASSES + history, prepend=-1) != 0))
                 m = np.diff(np.append(first, len(word)))
                 word, doc, history, at = word[first], doc[first], history[first], at[first]
