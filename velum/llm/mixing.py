@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velum.llm.shared import cut
+
 #: Sources up to this number are broadcast (a few MB); more are joined by shuffle, where AQE splits a hot source.
 BROADCAST_SOURCES = 50_000
 
@@ -52,7 +54,7 @@ def plan(docs: DataFrame, sizes: DataFrame, *, seed: str = "mix", weights: tuple
     Null sources form one source; empty and null texts have size 0 and no effect on totals; a source without words gets
     target 0 and no copies. Repeated rows of one id share their coin. An empty table gives an empty table.
     """
-    goal = targets(sizes, weights, max_repeats).withColumnRenamed("source", "goal_source")
+    goal = cut(targets(sizes, weights, max_repeats).withColumnRenamed("source", "goal_source"))
     if goal.count() <= BROADCAST_SOURCES:
         goal = F.broadcast(goal)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -85,5 +87,5 @@ select doc_id, size, source_size, target, (size * (floor(rate)::bigint + case wh
 
 
 def query(documents: DataFrame) -> DataFrame:
-    sized = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = cut(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     return plan(sized, sized.select("source", "size")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from velum.llm import automaton, lines, mixing, neighbours, packing, perplexity, search, sketch, suffixes, templates
-from velum.llm.shared import table
+from velum.llm.shared import query
 
 QUERIES = {
-    "op1_block_max_wand": lambda spark, d: search.query(table(spark, d, "documents")),
-    "op2_perplexity_rules": lambda spark, d: perplexity.query(table(spark, d, "documents")),
-    "op3_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
-    "op4_line_dedup": lambda spark, d: lines.query(table(spark, d, "documents"), lines.SHORTEST, lines.NEAR_SHORTEST),
-    "op5_site_templates": lambda spark, d: templates.query(table(spark, d, "pages")),
-    "op6_suffix_automata": lambda spark, d: automaton.query(table(spark, d, "documents")),
-    "op7_suffix_merge": lambda spark, d: suffixes.query(table(spark, d, "documents")),
-    "op8_bin_slack_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
-    "op9_latent_neighbours": lambda spark, d: neighbours.query(table(spark, d, "documents"), table(spark, d, "labels")),
-    "op10_setsketch_near_dup": lambda spark, d: sketch.query(table(spark, d, "documents")),
+    "op1_block_max_wand": query(search.query, "documents"),
+    "op2_perplexity_rules": query(perplexity.query, "documents"),
+    "op3_source_mixing": query(mixing.query, "documents"),
+    "op4_line_dedup": query(lambda documents: lines.query(documents, lines.SHORTEST, lines.NEAR_SHORTEST), "documents"),
+    "op5_site_templates": query(templates.query, "pages"),
+    "op6_suffix_automata": query(automaton.query, "documents"),
+    "op7_suffix_merge": query(suffixes.query, "documents"),
+    "op8_bin_slack_packing": query(packing.query, "documents"),
+    "op9_latent_neighbours": query(neighbours.query, "documents", "labels"),
+    "op10_setsketch_near_dup": query(sketch.query, "documents"),
 }
 SQL = {"op3_source_mixing": mixing.oracle()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,26 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._velum_path = path
+    if _made:
+        _made[-1].append(out)
+    return out
+
+
+#: Tables that each of the running calls of :func:`settle` has made.
+_made: list[list[DataFrame]] = []
+
+
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``make`` returns and delete all tables that were made on the way to it."""
+    _made.append([])
+    try:
+        out = cut(make())
+    except BaseException:
+        drop(*_made.pop())
+        raise
+    drop(*(df for df in _made.pop() if df is not out))
+    if _made:
+        _made[-1].append(out)
     return out
 
 
@@ -43,9 +64,25 @@ def drop(*frames: DataFrame) -> None:
 BATCH_ROWS = 2_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, in a session whose Arrow batches have BATCH_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> str:
+    """Bound the rows of the session's Arrow batches; returns the setting that held before."""
+    before = spark.conf.get(BATCHES)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
+    return before
+
+
+def query(run: Callable, *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    """``run`` over the named tables of a folder, as a registered query: its result is written, what it made on the way is deleted and the session's settings are as before."""
+
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = small_batches(spark)
+        try:
+            return settle(lambda: run(*(spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names)))
+        finally:
+            spark.conf.set(BATCHES, before)
+
+    return call

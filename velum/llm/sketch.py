@@ -13,7 +13,7 @@ blocks, where for each member and foreign component the likeliest partners are t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from velum.llm.arrays import ADD, LOWER, MULT, U, Spans, buffers, byte_spans, chunks, distinct_sorted, first_of, i64, mix, words
 from velum.llm.graph import components
-from velum.llm.shared import cut
+from velum.llm.shared import cut, drop
 
 #: A pair at similarity 0.85 shares no band with probability (1 - 0.85**5)**26 = 2.4e-7.
 BANDS, ROWS = 26, 5
@@ -32,6 +32,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs go to the exact check unless the likelihood's estimate is this far below the threshold (over five standard deviations of 130 registers).
 SLACK = 0.17
 BLOCK = 400
+#: Stands for the id of rows without one: they come last.
+NO_ID = (1 << 63) - 1
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +84,7 @@ def likely(more: np.ndarray, less: np.ndarray, m: int, na: np.ndarray, nb: np.nd
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, d1, d2, regs, bands``: set size, digest of the set, registers, band keys (null for empty sets)."""
+    """``doc_id, t, n, d1, d2, regs, bands`` of ``docs (doc_id, t, text)``: set size, digest of the set, registers, band keys (null for empty sets)."""
 
     def run(batches):
         for batch in batches:
@@ -105,10 +107,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 raw = np.full(len(n), None, object)
                 raw[some] = [r.tobytes() for r in regs]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n > 0)]) * BANDS, pa.int32()), i64(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), i64(n), i64(sums[0]), i64(sums[1]), pa.array(raw, pa.binary()), lists], ["doc_id", "n", "d1", "d2", "regs", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), i64(n), i64(sums[0]), i64(sums[1]), pa.array(raw, pa.binary()), lists], ["doc_id", "t", "n", "d1", "d2", "regs", "bands"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, regs binary, bands array<long>")
+    return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, n long, d1 long, d2 long, regs binary, bands array<long>")
 
 
 def _regs(col: pa.Array) -> np.ndarray:
@@ -130,10 +131,9 @@ def estimated(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of ``pairs (a, b)``, those with ``100 * |A and B| >= percent * |A or B|`` on full sets; ``texts`` has ``rid, text``."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    texts = cut(texts.join(ends, "rid", "left_semi"))
+def confirmed(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], k: int, percent: int) -> DataFrame:
+    """Of ``pairs (a, b)``, those with ``100 * |A and B| >= percent * |A or B|`` on full sets; ``texts_of`` turns ``rid`` into ``rid, text``."""
+    texts = cut(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()))
     side = lambda x: texts.select(F.col("rid").alias(x), F.col("text").alias(f"t{x}"))
 
     def run(batches):
@@ -278,38 +278,49 @@ def mixed_buckets(keys: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs (doc_id, text)``; ids are integers.
+    """``doc_id, n_shingles, component_id, leader, t`` for each row of ``docs (doc_id, text)``; ids are integers.
 
-    Null and empty texts have the empty set and are linked with nothing. Rows without an id can't be named: they are
-    returned with their set size and a null component. Repeated rows are returned as often as they come; rows of one id
-    with different texts stand in the components of their texts. Further columns are ignored. An empty table
-    gives an empty table.
+    Null and empty texts have the empty set and are linked with nothing. Rows of one id with different texts (told apart by
+    the text's digest ``t``) are documents of their own; rows without an id are compared too, and a component of such rows only has
+    a null ``component_id``. ``leader`` marks the rows of the component's smallest id and, of its texts, the smallest digest,
+    and every row with the empty set. Repeated rows are returned as often as they come. Further columns are ignored.
+    An empty table gives an empty table.
     """
     floor = percent / 100 - SLACK
     kind = docs.schema["doc_id"].dataType
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     sketches = cut(sketch(docs, k))
-    sets = sketches.where("n > 0 and doc_id is not null")
-    reps = cut(sets.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "regs", "bands")).alias("x")).select("d1", "d2", "n", F.col("x.doc_id").alias("rid"), "x.regs", "x.bands"))
-    # An id may come with several texts; then its classes are one node.
+    place = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    reps = sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct(place.alias("lead"), "t", "regs", "bands")).alias("x"))
+    # Written with its numbers, which so stay the same.
+    reps = cut(reps.select("d1", "d2", "n", "x.lead", F.col("x.t").alias("lead_t"), "x.regs", "x.bands").withColumn("rid", F.monotonically_increasing_id()))
     keys = reps.select("rid", F.posexplode("bands").alias("band", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rid").alias("hub")).where("m > 1").select("key", "hub")
     keys = cut(keys.join(buckets, "key").select("key", "band", "rid", "hub"))
-    texts = docs.join(reps.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rid"), "text")
+
+    def texts_of(rids: DataFrame) -> DataFrame:
+        asked = reps.select("rid", "lead", "lead_t").join(rids, "rid")
+        return docs.join(asked, (place == F.col("lead")) & (F.col("t") == F.col("lead_t"))).select("rid", "text")
+
     star = keys.where("rid > hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    edges = cut(confirmed(cut(estimated(star, reps, floor)), texts, k, percent))
+    likely_ = cut(estimated(star, reps, floor))
+    edges = cut(confirmed(likely_, texts_of, k, percent))
     labels = cut(components(edges).withColumnRenamed("node", "rid"))
     members = cut(mixed_buckets(keys, labels, reps))
-    sets = set_table(texts.join(members.select("rid").distinct(), "rid", "left_semi"), k).dropDuplicates(["rid", "set"])
-    edges = edges.union(across(members.join(sets, "rid"), floor, percent))
-    labels = cut(components(edges).withColumnRenamed("node", "rid"))
-    classes = reps.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), "rid").join(labels, "rid", "left")
-    classes = classes.select("c1", "c2", "cn", F.coalesce("label", "rid").alias("label"))
+    drop(keys, likely_, labels)
+    sets = set_table(texts_of(members.select("rid").distinct()), k).dropDuplicates(["rid", "set"])
+    labels = cut(components(edges.union(across(members.join(sets, "rid"), floor, percent))).withColumnRenamed("node", "rid"))
+    drop(members, edges)
+    classes = reps.select("d1", "d2", "n", "rid", "lead", "lead_t").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    first = classes.groupBy("label").agg(F.min(F.struct("lead", "lead_t")).alias("first"))
+    classes = classes.join(first, "label").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), "first")
     out = sketches.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).when(F.col("first.lead") < NO_ID, F.col("first.lead"))
+    leader = F.col("first").isNull() | ((place == F.col("first.lead")) & (F.col("t") == F.col("first.lead_t")))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), leader.alias("leader"), "t")
 
 
 def query(documents: DataFrame) -> DataFrame:
     found = near_duplicates(documents, k=3, percent=85)
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # A row without an id stays unless its component has one.
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
