@@ -183,3 +183,23 @@ def test_empty_and_null_tables(spark):
     none = spark.createDataFrame([], "userId long, movieId long, rating double, timestamp long")
     assert ratings.histogram(none).where("n <> 0").count() == 0 and ratings.activity(none).count() == 7 and ratings.overview(none).first().users == 0
     assert audit.low_access(item(spark, language=None), "language").count() == 0
+
+
+def test_listings(spark):
+    from velum.operators import catalogue, listings
+
+    items = spark.createDataFrame([(i, f"T{i % 3}", i / 10 if i % 7 else None) for i in range(200)], "movieId long, title string, score double").repartition(5)
+    order = [F.col("score").desc(), F.col("title"), F.col("movieId")]
+    places = [r.movieId for r in catalogue.ranked(items, order, "place", step=catalogue.grid(F.col("score"))).orderBy("place").collect()]
+    assert places == [r.movieId for r in items.orderBy(F.col("score").desc_nulls_last(), "title", "movieId").collect()]
+    assert catalogue.ranked(items.where("movieId < 0"), order, "place", step=catalogue.grid(F.col("score"))).count() == 0
+    assert listings.lookup(items, 5).first().title == "T2"
+    for wrong in (-1,):
+        with pytest.raises(Exception, match="rows found"):
+            listings.lookup(items, wrong).collect()
+    assert {(r.movieId, r.title) for r in listings.merged(items.select("movieId", "title").where("movieId < 3"), spark.createDataFrame([(1, "later")], "movieId long, title string")).collect()} == {(0, "T0"), (1, "later"), (2, "T2")}
+    twice = spark.createDataFrame([(1, ["unknown_suitability"]), (1, [])], "movieId long, publicExclusionReasons array<string>")
+    with pytest.raises(Exception, match="two rows"):
+        listings.migrate(twice, twice.where("false")).collect()
+    raw = spark.createDataFrame([("7", " A ", "1999.0", "x| y ||", "ninety", "3.5", "12", "True"), ("x", "B", None, None, None, None, None, None), ("8", "", "1", "", "", "", "", "")], "movieId string, title string, year string, genres string, runtime string, averageRating string, ratingCount string, isPublic string")
+    assert [tuple(r) for r in listings.typed(raw).collect()] == [(7, "A", 1999, ["x", "y"], None, 3.5, 12, True)]

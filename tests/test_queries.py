@@ -6,10 +6,11 @@ import os
 import duckdb
 import pytest
 
-from velum.plans import catalogue
+from velum.plans import catalogue, listings
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["candidate_scores", "item_knn_neighbors", "user_knn_recommend", "public_catalog", "content_index", "eval_ranking_metrics", "rating_histogram", "tag_topk", "audit_flags", "bmf_score_modes", "stable_choice_sha256"]
+NAMES = ["candidate_scores", "item_knn_neighbors", "user_knn_recommend", "public_catalog", "content_index", "eval_ranking_metrics", "rating_histogram", "tag_topk", "audit_flags", "bmf_score_modes", "stable_choice_sha256", "popularity_fillers", "content_similarity", *listings.QUERIES]
+QUERIES, SQL = catalogue.QUERIES | listings.QUERIES, catalogue.SQL | listings.SQL
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +24,8 @@ def duck():
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
 @pytest.mark.parametrize("name", NAMES)
 def test_equals_sql(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, DATA).toPandas()
-    want = duck.sql(catalogue.SQL[name]).df()
+    got = QUERIES[name](spark, DATA).toPandas()
+    want = duck.sql(SQL[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     tidy = lambda f: f[cols].sort_values(cols).reset_index(drop=True).astype(str)

@@ -75,24 +75,26 @@ def signals(profiles: DataFrame, top: int = 10) -> DataFrame:
     return best.withColumn("rank", rank).where(col("rank") <= top).drop("n")
 
 
-def similarity(profiles: DataFrame, features: DataFrame, session: DataFrame, top: int = K.POOL) -> DataFrame:
-    """``requestId, movieId, similarity, rank`` of unrated movies by their product with the combined profile."""
+def similarity(profiles: DataFrame, features: DataFrame, session: DataFrame, titles: DataFrame, top: int = K.POOL) -> DataFrame:
+    """``requestId, movieId, similarity, rank`` of unrated movies by their product with the combined profile; ties by title without case, from ``titles (movieId, title)``, then id."""
     own = profiles.where("kind = 'combined'").select("requestId", "feature", col("weight").alias("p"))
     by = own.join(features.select("movieId", "feature", "weight"), "feature").groupBy("requestId", "movieId").agg(F.sum(col("p") * col("weight")).alias("similarity"))
     by = by.where(F.abs("similarity") > 1e-12).join(session.select("requestId", "movieId"), ["requestId", "movieId"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("requestId").orderBy(F.round("similarity", 9).desc(), "movieId"))
-    return by.withColumn("rank", rank).where(col("rank") <= top)
+    by = by.join(titles.select("movieId", F.lower("title").alias("folded")), "movieId", "left")
+    rank = F.row_number().over(Window.partitionBy("requestId").orderBy(F.round("similarity", 9).desc(), F.coalesce("folded", F.lit("")), "movieId"))
+    return by.withColumn("rank", rank).where(col("rank") <= top).drop("folded")
 
 
 def content_score(similar: DataFrame, items: DataFrame) -> DataFrame:
     a, b = K.CONTENT_SCORE
-    scored = similar.drop("rank").join(items.select("movieId", "standDisplayScore"), "movieId").withColumn("score", a * F.greatest("similarity", F.lit(0.0)) + b * F.coalesce("standDisplayScore", F.lit(0.0)))
-    rank = F.row_number().over(Window.partitionBy("requestId").orderBy(F.round("score", 9).desc(), F.round("similarity", 9).desc(), "movieId"))
-    return scored.withColumn("rank", rank)
+    """Adds ``score`` and its ``rank``; ties by similarity, display score, title without case and id."""
+    scored = similar.drop("rank").join(items.select("movieId", "standDisplayScore", F.lower("title").alias("folded")), "movieId").withColumn("score", a * F.greatest("similarity", F.lit(0.0)) + b * F.coalesce("standDisplayScore", F.lit(0.0)))
+    order = [F.round("score", 9).desc(), F.round("similarity", 9).desc(), F.coalesce("standDisplayScore", F.lit(0.0)).desc(), F.coalesce("folded", F.lit("")), "movieId"]
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("requestId").orderBy(*order))).drop("folded")
 
 
 def diversify(scored: DataFrame, features: DataFrame, limit: int = 10, weight: float = K.MMR_WEIGHT) -> DataFrame:
-    """Greedy maximal marginal relevance within each request's pool of at most POOL movies: ``requestId, movieId, mmr, rank``. Each pick depends on those before, so a request is one small group in pandas."""
+    """Greedy maximal marginal relevance within each request's pool of at most POOL movies: ``requestId, movieId, mmr, rank``. Equal values go by the pool's rank, which has the score's tie order. Each pick depends on those before, so a request is one small group in pandas."""
     vectors = features.groupBy("movieId").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("v"))
     pool = scored.where(col("rank") <= K.POOL).select("requestId", "movieId", "score", "rank").join(vectors, "movieId")
 

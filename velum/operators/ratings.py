@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.functions import constants as K
+from velum.operators.catalogue import grid, ranked
 
 col = F.col
 
@@ -54,19 +55,20 @@ def popularity(items: DataFrame) -> DataFrame:
     a, b = K.POPULARITY_WEIGHTS
     score = a * mean * (n / (n + K.POPULARITY_PRIOR)) + b * stand
     rated = items.where((n > 0) & (mean > 0)).select("movieId", score.alias("score"))
-    return rated.withColumn("rank", F.row_number().over(Window.orderBy(col("score").desc(), "movieId")))
+    return ranked(rated, [col("score").desc(), col("movieId")], step=grid(col("score")))
 
 
 def fillers(ranking: DataFrame, requests: DataFrame, taken: DataFrame, limit: int, universe: DataFrame | None = None) -> DataFrame:
     """For each of ``requests (requestId, have)`` the most popular movies it has not ``taken (requestId, movieId)``, up to ``limit`` in all; ranks go on after ``have``.
 
-    At most ``limit`` plus the movies taken are looked at for a request, so only that many of the ranking's first are joined.
+    A request looks only as deep into the ranking as it has taken movies, and ``limit`` more: those places are listed and joined by rank.
     """
     if universe is not None:
-        ranking = ranking.join(universe.select("movieId").distinct(), "movieId", "left_semi")
-    deepest = taken.groupBy("requestId").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] + limit
-    top = ranking.orderBy("rank").limit(deepest)
-    free = requests.join(F.broadcast(top) if deepest <= 100_000 else top, F.lit(True)).join(taken, ["requestId", "movieId"], "left_anti")
+        kept = ranking.join(universe.select("movieId").distinct(), "movieId", "left_semi")
+        ranking = ranked(kept.withColumnRenamed("rank", "__old"), [col("__old")], step=F.floor(col("__old") / 4096)).drop("__old")
+    depth = taken.groupBy("requestId").agg(F.count("*").alias("n"))
+    places = requests.join(depth, "requestId", "left").withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(0).cast("long")) + limit))).drop("n")
+    free = places.join(ranking, "rank").join(taken, ["requestId", "movieId"], "left_anti")
     place = F.row_number().over(Window.partitionBy("requestId").orderBy("rank"))
     return free.withColumn("place", place).where(col("place") + col("have") <= limit).select("requestId", "movieId", (col("have") + col("place")).alias("rank"), "score", F.lit(True).alias("fallback"))
 

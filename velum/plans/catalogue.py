@@ -47,7 +47,7 @@ RATED = A.cte(*A.RATED)
 
 @query(BASE + " select movieId, title, ratingCount, averageRating, dataReliabilityScore, recencyScore, userTagsScore, candidateScore, row_number() over (order by candidateScore desc, recencyScore desc, dataReliabilityScore desc, ratingCount desc, averageRating desc, title, movieId) as \"rank\" from (select *  replace (round(recencyScore, 6) as recencyScore) from candidates)")
 def candidate_scores(spark, d):
-    return catalogue.ranked(A.candidates(spark, d).withColumn("recencyScore", F.round("recencyScore", 6)), catalogue.candidate_order()).select("movieId", "title", "ratingCount", "averageRating", "dataReliabilityScore", "recencyScore", "userTagsScore", "candidateScore", *big("rank"))
+    return catalogue.ranked(A.candidates(spark, d).withColumn("recencyScore", F.round("recencyScore", 6)), catalogue.candidate_order(), step=catalogue.grid(col("candidateScore"))).select("movieId", "title", "ratingCount", "averageRating", "dataReliabilityScore", "recencyScore", "userTagsScore", "candidateScore", *big("rank"))
 
 
 @query(BASE + """, f as (select ratingCount >= 20 as a, distinctTagCount >= 2 as b, tmdbId is not null as c, year between 1990 and 2020 as e from candidates)
@@ -285,7 +285,7 @@ ORDER = "standDisplayScore desc, case suitabilityCategory when 'family_friendly'
 
 
 def _public(spark, d):
-    return catalogue.ranked(A.items(spark, d).where("isPublic"), catalogue.public_order())
+    return catalogue.ranked(A.items(spark, d).where("isPublic"), catalogue.public_order(), step=catalogue.grid(col("standDisplayScore")))
 
 
 @query(FULL + f" select movieId, title, standDisplayScore, suitabilityCategory, row_number() over (order by {ORDER}) as \"rank\" from public")
@@ -369,7 +369,7 @@ def _index(spark, d):
 
 
 def _whole_index(spark, d):
-    """The index of all six blocks. The SQL twins of the queries over :func:`_index` have five, so these queries have none."""
+    """The index of all six blocks; that of :func:`_index` leaves the texts out."""
     return content.index([*_structured(spark, d), content.text_block(A.items(spark, d))])
 
 
@@ -396,23 +396,27 @@ def tfidf_text(spark, d):
     return content.text_block(docs).select("movieId", "feature", *r6("weight"))
 
 
-PROFILE = INDEX + SESSIONS + """, met as (select requestId, (rating - 3) / 2.0::double as w, feature, weight from sessions join idx using (movieId) where rating <> 3),
+PROFILE_TAIL = SESSIONS + """, met as (select requestId, (rating - 3) / 2.0::double as w, feature, weight from sessions join idx using (movieId) where rating <> 3),
 both_ as (select requestId, 'combined' as kind, feature, sum(w * weight) as x from met group by 1, 3 union all select requestId, case when w > 0 then 'positive' else 'negative' end, feature, sum(abs(w) * weight) from met group by 1, 2, 3),
 profiles as (select requestId, kind, feature, x / sqrt(sum(x * x) over (partition by requestId, kind)) as weight from both_ where abs(x) > 1e-12)"""
 
+PROFILE = INDEX + PROFILE_TAIL
+
 
 @query(PROFILE + " select requestId, kind, feature, round(weight, 6) as weight from profiles")
 def user_profile(spark, d):
     return content.profile(A.sessions(spark, d), _index(spark, d)).select("requestId", "kind", "feature", *r6("weight"))
 
 
-SIMILAR = PROFILE + """, sims as (select requestId, movieId, sum(p.weight * i.weight) as similarity from profiles p join idx i using (feature) where kind = 'combined' group by 1, 2),
-similar_ as (select * from (select s.*, row_number() over (partition by s.requestId order by round(similarity, 9) desc, s.movieId) as rnk from sims s anti join sessions x on x.requestId = s.requestId and x.movieId = s.movieId where abs(similarity) > 1e-12) where rnk <= 100)"""
+SIMILAR_TAIL = """, sims as (select requestId, movieId, sum(p.weight * i.weight) as similarity from profiles p join idx i using (feature) where kind = 'combined' group by 1, 2),
+similar_ as (select * from (select s.*, row_number() over (partition by s.requestId order by round(similarity, 9) desc, lower(title), s.movieId) as rnk from sims s join movies m on m.movieId = s.movieId anti join sessions x on x.requestId = s.requestId and x.movieId = s.movieId where abs(similarity) > 1e-12) where rnk <= 100)"""
+
+SIMILAR = PROFILE + SIMILAR_TAIL
 
 
 def _similar(spark, d):
     index, s = _index(spark, d), A.sessions(spark, d)
-    return content.similarity(content.profile(s, index), index, s)
+    return content.similarity(content.profile(s, index), index, s, A.movies(spark, d))
 
 
 @query(SIMILAR + " select requestId, movieId, round(similarity, 6) as similarity from similar_")
@@ -425,27 +429,37 @@ def content_score(spark, d):
     return content.content_score(_similar(spark, d), A.items(spark, d)).select("requestId", "movieId", *r6("score"))
 
 
-@query()
+# The text block as in tfidf_text, over the items.
+WHOLE = FULL + TOKENS + """, texts as (select movieId, list_filter(string_split_regex(lower(strip_accents(overview)), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) > 1) as w from items),
+grams as (select movieId, unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) as term from texts),
+tfs as (select movieId, term, count(*) as tf from grams group by 1, 2), by_term as (select term, count(*) as df, sum(tf) as total from tfs group by 1),
+chosen as (select term, ln((1 + n) / (1 + df)::double) + 1 as idf from by_term, n where df >= 2 and df <= 0.65 * n order by total desc, term limit 5000),
+blocks as (select movieId, block, feature, weight from structured union all select movieId, 'text', 'text:' || term, (1 + ln(tf)) * idf from tfs join chosen using (term)),
+b1 as (select movieId, block, feature, weight / sqrt(sum(weight * weight) over (partition by movieId, block)) * case block when 'genres' then 1.0 when 'userTags' then 0.95 when 'keywords' then 0.90 when 'text' then 0.70 when 'suitability' then 0.25 else 0.20 end as weight from blocks),
+idx as (select movieId, block, feature, weight / sqrt(sum(weight * weight) over (partition by movieId)) as weight from b1)"""
+
+
+@query(WHOLE + " select movieId, feature, round(weight, 6) as weight from idx")
 def content_index_whole(spark, d):
     return _whole_index(spark, d).select("movieId", "feature", *r6("weight"))
 
 
-@query()
+@query()  # five million rows already at sf 0.01; its twin stands in those of the two queries below
 def user_profile_whole(spark, d):
     return content.profile(A.sessions(spark, d), _whole_index(spark, d)).select("requestId", "kind", "feature", *r6("weight"))
 
 
 def _whole_similar(spark, d):
     index, s = _whole_index(spark, d), A.sessions(spark, d)
-    return content.similarity(content.profile(s, index), index, s)
+    return content.similarity(content.profile(s, index), index, s, A.movies(spark, d))
 
 
-@query()
+@query(WHOLE + PROFILE_TAIL + SIMILAR_TAIL + " select requestId, movieId, round(similarity, 6) + 0.0::double as similarity from similar_")
 def content_similarity_whole(spark, d):
-    return _whole_similar(spark, d).select("requestId", "movieId", *r6("similarity"))
+    return _whole_similar(spark, d).select("requestId", "movieId", (F.round("similarity", 6) + 0.0).alias("similarity"))  # no negative zero
 
 
-@query()
+@query(WHOLE + PROFILE_TAIL + SIMILAR_TAIL + " select requestId, movieId, round(0.88::double * greatest(similarity, 0) + 0.12::double * standDisplayScore, 6) as score from similar_ join items using (movieId)")
 def content_score_whole(spark, d):
     return content.content_score(_whole_similar(spark, d), A.items(spark, d)).select("requestId", "movieId", *r6("score"))
 
@@ -487,7 +501,7 @@ def _recommended(spark, d):
     """Popularity lists for the evaluation cases, from the other users' ratings."""
     r, c = A.ratings(spark, d), _cases(spark, d)
     train = catalogue.rating_summary(ratings.train_split(r, c))
-    ranking = catalogue.ranked(train.select("movieId", (col("averageRating") * col("ratingCount") / (col("ratingCount") + 25)).alias("score")), [F.round("score", 9).desc(), col("movieId")])
+    ranking = catalogue.ranked(train.select("movieId", (col("averageRating") * col("ratingCount") / (col("ratingCount") + 25)).alias("score")), [F.round("score", 9).desc(), col("movieId")], step=catalogue.grid(F.round("score", 9)))
     inputs = c.where("role = 'input'").select(col("userId").alias("requestId"), "movieId")
     return ratings.fillers(ranking, c.select(col("userId").alias("requestId"), F.lit(0).alias("have")).distinct(), inputs, 50).select(col("requestId").alias("caseId"), "movieId", "rank"), c
 
