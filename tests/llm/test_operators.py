@@ -276,6 +276,20 @@ def test_templates(spark, monkeypatch, most):
     assert templates.extract(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
 
 
+def test_templates_decide_and_class_names_do_not(spark):
+    """Boxes that recur on a host go, in the content element too; own text stays under any class name, and so do copies of one article."""
+    page = "<html><body><div class='top'>Site bar</div><article><div class='notice'>Subscribe to our letter today</div><p class='share promo'>Own words {i} about sharing.</p><div class='social related'>Own box {i} of the article with more text</div><p>A licence line that many articles have.</p><div class='comments'>Someone said {i}</div></article><div>Legal words</div></body></html>"
+    plain = "<html><body><div>Site bar</div><p>Text {i}</p><div>Legal words</div></body></html>"
+    copy = "<html><body><main><div>First part of a copied article, long enough</div><div>Second part of a copied article, also long</div><p>End.</p></main></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.replace("{i}", str(i))) for i in range(8)] + [(100 + i, f"http://b.example/{i}", plain.replace("{i}", str(i))) for i in range(8)] + [(200 + i, f"http://c.example/{i}", copy) for i in range(6)]
+    got = {r.page_id: r.text for r in templates.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"Own words {i} about sharing.\nOwn box {i} of the article with more text\nA licence line that many articles have."
+        assert got[100 + i] == f"Text {i}"
+        assert templates.main_text(templates.parse(rows[i][2]), set()) != got[i] and templates.main_text(templates.parse(rows[8 + i][2]), set()) != got[100 + i]
+    assert {got[200 + i] for i in range(6)} == {"First part of a copied article, long enough\nSecond part of a copied article, also long\nEnd."}
+
+
 # 6, 7
 
 

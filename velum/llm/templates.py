@@ -2,9 +2,10 @@
 
 Every page is parsed into a tree, each element's subtree gets a hash of its tags, classes and text, Spark counts per host on
 how many pages a subtree occurs, and subtrees that recur on many pages of a host are deleted. What stands in the
-content element (article or main) as running text is the page's own and stays, however often it is published; without
-such an element the whole body is the content. Elements that are never main text (menus, forms, scripts and the like)
-go by their tag, role or class.
+content element (article or main) as running text is the page's own and stays, however often it is published; boxes and
+link lists in it go if they recur, unless that is most of it, as in copies of one article. Without such an element the
+whole body is the content. Elements that are never main text (menus, forms, scripts and the like) go by their tag or role, and reader
+comments and adverts, which differ from page to page, by a whole class name, unless they hold most of the content.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ SCOPE = frozenset("article aside body div form html main nav section table ul ol
 # What is not main text.
 NEVER = frozenset("aside button canvas dialog embed footer form head iframe input map menu nav noembed noframes noscript object option script select style svg template textarea title video audio".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-MARKS = frozenset("ad ads adv advert advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay popup promo promotion promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+MARKS = frozenset("ad ads advert advertisement advertising comment-list comments cookie-banner disqus_thread reader-comments sponsored".split())
+#: Boxes that may be templates inside a content element.
+BOXES = frozenset("details div dl figure ol section span table ul".split())
 #: Also outside a content element.
 OUTSIDE = frozenset(["header"])
 
@@ -124,17 +127,15 @@ def parse(html: str) -> Node:
     return root
 
 
-def never(node: Node, inside: bool) -> bool:
-    """Whether an element is no main text by its tag, role, class or id; ``inside`` a content element or not."""
+def never(node: Node, inside: bool, most: float = float("inf")) -> bool:
+    """Whether an element is no main text by its tag, role, class or id; ``inside`` a content element or not; with over ``most`` characters of text not by its class or id."""
     if node.tag in NEVER or node.tag in OUTSIDE and not inside or "hidden" in node.attrs:
         return True
     if node.tag in ("html", "body", "main", "#root") or not node.attrs:
         return False
     if node.attrs.get("role", "").lower() in ROLES:
         return True
-    names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()
-    found = set(re.split(r"[^a-z]+", names))
-    return bool(found & MARKS) or not inside and bool(found & OUTSIDE)
+    return node.size <= most and not MARKS.isdisjoint(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split())
 
 
 def is_content(node: Node) -> bool:
@@ -154,8 +155,13 @@ def roots(tree: Node) -> list[Node]:
     return mains or out or [tree]
 
 
+def is_box(node: Node) -> bool:
+    """Whether a subtree inside a content element may be a template: mostly links, or a box."""
+    return 2 * node.links > node.size or node.tag in BOXES
+
+
 def suspects(tree: Node) -> set[int]:
-    """Hashes of the subtrees that may be templates: outside the content element any with text, inside it those that are mostly links."""
+    """Hashes of the subtrees that may be templates: outside the content element any with text, inside it boxes and what is mostly links."""
     out, content = set(), {id(r) for r in roots(tree) if r is not tree}
     todo = [(tree, False)]
     while todo:
@@ -163,12 +169,24 @@ def suspects(tree: Node) -> set[int]:
         inside = inside or id(node) in content
         if node.tag in NEVER:
             continue
-        if node.size and node.tag not in ("#root", "html", "body") and id(node) not in content and (2 * node.links > node.size if inside else True):
+        if node.size and node.tag not in ("#root", "html", "body") and id(node) not in content and (not inside or is_box(node)):
             out.add(node.hash)
         todo.extend((c, inside) for c in node.children if isinstance(c, Node))
     return out
 
 
+def recurring(root: Node, templates: frozenset[int] | set[int]) -> int:
+    """Characters of a content element in boxes that are templates and not mostly links."""
+    found, todo = 0, [c for c in root.children if isinstance(c, Node)]
+    while todo:
+        node = todo.pop()
+        if node.hash in templates and node.tag in BOXES and 2 * node.links <= node.size:
+            found += node.size
+        else:
+            todo.extend(c for c in node.children if isinstance(c, Node))
+    return found
+
+
 def main_text(tree: Node, templates: frozenset[int] | set[int]) -> str:
     """The blocks of the content, without templates and what is never main text."""
     blocks, line = [], []
@@ -180,7 +198,12 @@ def main_text(tree: Node, templates: frozenset[int] | set[int]) -> str:
         line.clear()
 
     for root in roots(tree):
-        inside = root is not tree
+        inside, most = root is not tree, root.size / 2
+        boxes = not inside or recurring(root, templates) <= most
+
+        def goes(x: Node, root=root, inside=inside, most=most, boxes=boxes) -> bool:
+            return x is not root and (never(x, inside, most) or x.hash in templates and (not inside or 2 * x.links > x.size or boxes and x.tag in BOXES))
+
         todo: list = [root]
         while todo:
             x = todo.pop()
@@ -188,7 +211,7 @@ def main_text(tree: Node, templates: frozenset[int] | set[int]) -> str:
                 flush()
             elif isinstance(x, str):
                 line.append(x)
-            elif x is not root and (never(x, inside) or x.hash in templates and (not inside or 2 * x.links > x.size)):
+            elif goes(x):
                 if x.tag in BLOCK:
                     flush()
             elif x.tag == "br":
