@@ -443,3 +443,28 @@ def test_sketch_estimates():
 @pytest.mark.parametrize("run", [search.query, perplexity.query, mixing.query, lines.query, automaton.query, suffixes.query, packing.query, sketch.query], ids=lambda f: f.__module__.split(".")[-1])
 def test_empty_table(empty, run):
     assert run(empty).count() == 0
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    """Different texts under one id are documents of their own, also near rows without an id; nothing is lost or mixed up."""
+    rng = random.Random(8)
+    some = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(n))
+    a, b, c = some(60), some(60), some(60)
+    rows = [(1, a), (1, b), (2, a), (3, b + " tail"), (None, c), (None, c), (None, a), (4, c + " end"), (4, c + " end")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.component_id, r.leader) for r in sketch.near_duplicates(frame, 3, 85).collect())
+    assert got == {(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (None, 4, False): 2, (None, 1, False): 1, (4, 4, True): 2}
+    import corpus_pipeline
+
+    kept = [tuple(r) for r in corpus_pipeline.near_dedup(spark, frame.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1 as n_chars"), "").select("doc_id", "text").collect()]
+    assert sorted(kept) == sorted([(1, a), (1, b), (4, c + " end")])
+    texts = [(7, "one two three four\nsecond line of the first"), (7, "other words here\none two three four"), (8, "one two three four\nlast")]
+    removed = {r.kept_sha256: r.n_removed for r in lines.query(spark.createDataFrame(texts, "doc_id long, text string"), 1, 5).collect()}
+    # Of the two texts under id 7 the one of the smaller digest is the earlier.
+    first, second = texts[:2] if spark.createDataFrame(texts[:2], "doc_id long, text string").selectExpr("text", "xxhash64(text) as t").orderBy("t").first().text == texts[0][1] else texts[1::-1]
+    want = [first[1], "\n".join(x for x in second[1].split("\n") if x != "one two three four"), "last"]
+    assert removed == {hashlib.sha256(x.encode()).hexdigest(): n for x, n in zip(want, (0, 1, 1), strict=True)}
+
+
+def test_classifier_on_empty_tables(empty, spark):
+    assert neighbours.query(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
