@@ -35,6 +35,7 @@ PROTECTED_GENRES = ["Animation", "Family"]
 MIN_STAND_SCORE = 0.5
 LOW_COUNT, LOW_POPULARITY, LOW_SCORE = 250, 10.0, 0.55
 MIN_RUNTIME = 70
+REASON_LABELS = {"documentary": "Documental", "short_runtime": "Corto (< 70 min)"}
 
 # Candidate score.
 RELIABILITY_COUNT, RELIABILITY_AVERAGE = 0.65, 0.35

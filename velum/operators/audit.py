@@ -45,13 +45,14 @@ def count_by(frame: DataFrame, field: str) -> DataFrame:
     return by.withColumn("share", F.round(col("movies") * 100 / F.sum("movies").over(Window.partitionBy("partition")), 4))
 
 
-def explode_by(frame: DataFrame, field: str, examples: int = 8) -> DataFrame:
-    """Distinct movies by partition and element of an array, with the first titles as examples."""
-    rows = frame.select("partition", "movieId", "title", F.explode(F.array_distinct(field)).alias("value")).where("value <> ''")
-    first = F.row_number().over(Window.partitionBy("partition", "value").orderBy("title", "movieId"))
-    ranked = rows.dropDuplicates(["partition", "value", "title"]).withColumn("n", first).where(col("n") <= examples)
-    names = ranked.groupBy("partition", "value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]), " | ").alias("examples"))
-    return rows.groupBy("partition", "value").agg(F.countDistinct("movieId").alias("movies")).join(names, ["partition", "value"])
+def explode_by(frame: DataFrame, field: str, examples: int = 8, by: tuple[str, ...] = ("partition",)) -> DataFrame:
+    """Distinct movies by ``by`` and element of an array, with the first titles as examples."""
+    key = [*by, "value"]
+    rows = frame.select(*by, "movieId", "title", F.explode(F.array_distinct(field)).alias("value")).where("value <> ''")
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("title", "movieId"))
+    ranked = rows.dropDuplicates([*key, "title"]).withColumn("n", first).where(col("n") <= examples)
+    names = ranked.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]), " | ").alias("examples"))
+    return rows.groupBy(*key).agg(F.countDistinct("movieId").alias("movies")).join(names, key)
 
 
 def compare(frame: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from velum.operators.catalogue import grid, ranked
 col = F.col
 
 ACTIVITY = [(1, 10, "1-9"), (10, 20, "10-19"), (20, 30, "20-29"), (30, 40, "30-39"), (40, 50, "40-49"), (50, 100, "50-99"), (100, None, "100+")]
+#: The same for the audit.
+AUDIT_ACTIVITY = [(1, 5, "1-4"), (5, 10, "5-9"), (10, 25, "10-24"), (25, 50, "25-49"), (50, 100, "50-99"), (100, 250, "100-249"), (250, None, "250+")]
 
 
 def keep_last(ratings: DataFrame, order: list[Column]) -> DataFrame:
@@ -97,15 +99,16 @@ def by_year(ratings: DataFrame) -> DataFrame:
     return by.withColumn("share", col("n") * 100 / F.sum("n").over(Window.partitionBy()))
 
 
-def activity(ratings: DataFrame) -> DataFrame:
-    """Users by number of ratings in seven fixed classes, zeros included."""
+def activity(ratings: DataFrame, classes: list[tuple] | None = None) -> DataFrame:
+    """Users by number of ratings in fixed classes, zeros included."""
+    classes = classes or ACTIVITY
     spark = ratings.sparkSession
     label = None
-    for lo, hi, name in ACTIVITY:
+    for lo, hi, name in classes:
         hit = (col("n") >= lo) & (col("n") < hi if hi else F.lit(True))
         label = F.when(hit, name) if label is None else label.when(hit, name)
     by = ratings.groupBy("userId").agg(F.count("*").alias("n")).groupBy(label.alias("bucket")).agg(F.count("*").alias("users"))
-    names = spark.createDataFrame([(i, x[2]) for i, x in enumerate(ACTIVITY)], "place int, bucket string")
+    names = spark.createDataFrame([(i, x[2]) for i, x in enumerate(classes)], "place int, bucket string")
     return names.join(by, "bucket", "left").select("place", "bucket", F.coalesce("users", F.lit(0)).alias("users"))
 
 
