@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from velum.operators import audit, catalogue, content, evaluation, explain, factors, neighbours, ratings
+from velum.operators import audit, catalogue, content, content_evidence, evaluation, explain, factors, neighbours, ratings
 from velum.plans import adapters as A
 
 col = F.col
@@ -635,3 +635,28 @@ def explanations(spark, d):
     found = explain.evidence(_contributions(spark, d)).select("requestId", "movieId", "anchor").join(best, ["requestId", "movieId"])
     named = found.join(titles.toDF("movieId", "movie"), "movieId").join(titles.toDF("a", "anchorTitle"), col("a") == col("anchor"))
     return explain.render(named.select("requestId", "movieId", "movie", col("anchorTitle").alias("anchor"), explain.strength(col("contribution"), F.lit(False)).alias("strength")))
+
+
+SIGNALS = {"genres": "genre", "userTags": "tag", "keywords": "keyword", "text": "text"}
+
+
+def _signal(c):
+    """Features under the prefixes of signals."""
+    for block, name in SIGNALS.items():
+        c = F.regexp_replace(c, f"^{block}:", f"{name}:")
+    return c
+
+
+@query()
+def content_evidence_signals(spark, d):
+    index, it = _whole_index(spark, d), A.items(spark, d)
+    profiles = content.profile(A.sessions(spark, d), index)
+    best = content.content_score(_whole_similar(spark, d), it).where("rank <= 10").select("requestId", "movieId")
+    place = F.row_number().over(Window.partitionBy("requestId", "movieId").orderBy(F.round("w", 9).desc(), "feature"))
+    liked = profiles.where("kind = 'positive'").select("requestId", "feature", col("weight").alias("p"))
+    met = best.join(index.select("movieId", "feature", "weight"), "movieId").join(liked, ["requestId", "feature"]).select("requestId", "movieId", "feature", (col("p") * col("weight")).alias("w")).withColumn("n", place).where("n <= 12")
+    ordered = lambda n, v: F.transform(F.array_sort(F.collect_list(F.struct(n, v))), lambda x: x[v])
+    signals = met.withColumn("signal", _signal(col("feature"))).groupBy("requestId", "movieId").agg(ordered("n", "signal").alias("signals"))
+    top = content.signals(profiles).withColumn("signal", _signal(col("feature"))).groupBy("requestId").pivot("kind", ["positive", "negative"]).agg(ordered("rank", "signal"))
+    rows, _ = content_evidence.evidence(signals.join(it.select("movieId", "genres"), "movieId"), top)
+    return rows.select("requestId", "movieId", "display", "source", *r6("score"), "generic", *big("place"))
