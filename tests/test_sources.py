@@ -46,3 +46,26 @@ def test_manifest_and_requirements(spark, tmp_path):
         tables.require(spark.range(2), ["movieId"])
     with pytest.raises(ValueError, match="duplicate"):
         tables.require(spark.range(2).union(spark.range(2)), ["id"])
+
+
+def test_filtered_copy_union_and_json(spark, tmp_path):
+    rated = spark.createDataFrame([(1, 7, 4.0), (2, 8, 3.0), (3, 7, 1.0)], "userId long, movieId long, rating double")
+    tables.write_filtered(rated, spark.createDataFrame([(7,), (7,)], "movieId long"), str(tmp_path / "some"))
+    back = spark.read.csv(str(tmp_path / "some"), header=True)
+    assert back.columns == ["userId", "movieId", "rating"] and {r.userId for r in back.collect()} == {"1", "3"}
+    tables.write_filtered(rated, rated.select("movieId").where("false"), str(tmp_path / "none"))
+    assert spark.read.csv(str(tmp_path / "none"), header=True).columns == ["userId", "movieId", "rating"]
+    tables.write_union([spark.createDataFrame([(1,)], "b long"), spark.createDataFrame([(2,)], "a long")], str(tmp_path / "both"))
+    both = spark.read.csv(str(tmp_path / "both"), header=True)
+    assert both.columns == ["a", "b"] and sorted(map(tuple, both.collect())) == [("2", "null"), ("null", "1")]
+    tables.write_json(spark.createDataFrame([(1, None)], "a long, b string"), str(tmp_path / "json"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "json")).collect()] == ['{"a":1,"b":null}']
+
+
+def test_fingerprint_ignores_row_order_and_tells_other_data(spark):
+    a = tables.fingerprint({"x": spark.range(4), "y": spark.range(2)})
+    assert a == tables.fingerprint({"y": spark.range(2), "x": spark.range(4).orderBy(F.desc("id"))})
+    assert a != tables.fingerprint({"x": spark.range(5), "y": spark.range(2)})
+    tables.compatible({"dataset": a}, a)
+    with pytest.raises(ValueError, match="not"):
+        tables.compatible({"dataset": "other"}, a)

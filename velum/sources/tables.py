@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 
@@ -76,6 +77,24 @@ def write_csv(frame: DataFrame, path: str, null: str = "", rows_per_file: int |
     writer.csv(path)
 
 
+def write_filtered(ratings: DataFrame, movies: DataFrame, path: str) -> None:
+    """A CSV copy of the ratings of the given movies; with none there is still a header."""
+    write_csv(ratings.join(movies.select("movieId").distinct(), "movieId", "left_semi").select(*ratings.columns), path)
+
+
+def write_json(frame: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls included."""
+    frame.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_union(frames: list[DataFrame], path: str) -> None:
+    """One CSV of several tables with all their columns, sorted by name; what a table lacks is ``null``."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    write_csv(out.select(*sorted(out.columns)), path, null="null")
+
+
 def write_model(frame: DataFrame, path: str, key: str) -> None:
     """A model table, its rows dealt out and sorted by key so that lookups skip row groups."""
     frame.repartition(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
@@ -107,12 +126,24 @@ def manifest(frame: DataFrame, path: str, **facts) -> dict:
     """A model's or table's manifest with row count, columns and a content digest that doesn't depend on row order."""
     digest = frame.select(F.xxhash64(*frame.columns).alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
     out = {"rows": digest["n"], "columns": frame.columns, "digest": str(digest["s"] or 0), **facts}
-    if os.path.isdir(os.path.dirname(path)):
+    if path and os.path.isdir(os.path.dirname(path)):
         with open(path, "w", encoding="utf-8") as f:
             json.dump(out, f, indent=1)
     return out
 
 
+def fingerprint(frames: dict[str, DataFrame]) -> str:
+    """SHA-256 of the names, columns, row counts and contents of a dataset's tables, whatever the order of rows."""
+    parts = {name: manifest(frames[name], "") for name in sorted(frames)}
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+
+
+def compatible(model: dict, dataset: str) -> None:
+    """Raises if a model's manifest names another dataset's fingerprint, or none."""
+    if model.get("dataset") != dataset:
+        raise ValueError(f"the model was built from dataset {model.get('dataset')}, not {dataset}")
+
+
 def require(frame: DataFrame, columns: list[str]) -> None:
     """Raises if columns are missing or the key repeats."""
     missing = [c for c in columns if c not in frame.columns]
