@@ -44,3 +44,12 @@ def test_entry_point_has_a_twin_only_for_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
+def test_all_audit_tables_can_be_planned(spark):
+    from velum.operators import audit_tables as tables
+    from velum.plans import adapters
+
+    every = tables.tables(catalogue._frame(spark, DATA), adapters.ratings(spark, DATA))
+    assert len(every) == 12 and all(t.columns for t in every.values())
