@@ -1,6 +1,8 @@
 """Hand-computed values of the scores, models and metrics."""
 
 import math
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,19 @@ def test_app_rating(spark):
     assert {r.x: r.y for r in got} == want
 
 
+def test_normalise_decomposes_every_character(spark):
+    """Against the standard library, over every character that has an ASCII form and some that have none."""
+
+    def plain(x):
+        x = unicodedata.normalize("NFKD", x.lower())
+        return re.sub("[^a-z0-9]+", " ", "".join(c for c in x if not unicodedata.combining(c))).strip()
+
+    titles = [f"a{c}b" for c in text.FOLDS] + ["Tiếng Việt", "ＦＵＬＬ width", "ﬁne ﬄ ĳ", "½ №", "e\u0301te\u0301", "日本 go", "\u1d2c𝐀b", "", " "]
+    rows = [(i, x) for i, x in enumerate(titles)] + [(len(titles), None)]
+    got = {r.i: r.n for r in spark.createDataFrame(rows, "i int, t string").select("i", text.normalise(F.col("t")).alias("n")).collect()}
+    assert got == {i: plain(x or "") for i, x in rows}
+
+
 def test_fold_in_equals_a_loop(spark):
     items = [(1, 0.1, [0.2, -0.3]), (2, -0.2, [0.5, 0.4])]
     seen = [(7, 0, 1, 5), (7, 1, 2, 2)]

@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _folds() -> tuple[str, str]:
-    """Accented Latin letters and the ASCII letters that their decompositions begin with."""
-    pairs = []
-    for c in map(chr, range(0xC0, 0x250)):
-        base = unicodedata.normalize("NFKD", c)[0]
-        if base.isascii() and base.isalpha():
-            pairs.append((c, base))
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+def _plain(c: str) -> str:
+    """The compatibility decomposition of a character without its combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-FOLD_FROM, FOLD_TO = _folds()
+def _ranges(points: list[int]) -> str:
+    """A character class of sorted code points."""
+    starts = [p for p, before in zip(points, [-2, *points], strict=False) if p != before + 1]
+    ends = [p for p, after in zip(points, [*points[1:], -2], strict=True) if p != after - 1]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+#: Characters whose plain form differs from them and has an ASCII character: accented and full-width letters, ligatures, fractions.
+FOLDS = {c: t for c in map(chr, range(0x80, sys.maxunicode + 1)) if (t := _plain(c)) != c and any(x.isascii() for x in t)}
+FOLD_FROM = "".join(c for c, t in FOLDS.items() if len(t) == 1)
+FOLD_TO = "".join(FOLDS[c] for c in FOLD_FROM)
+#: Those of several characters, few in any text.
+SPELT = json.dumps({c: t for c, t in FOLDS.items() if len(t) > 1})
+SPELT_CLASS = _ranges([ord(c) for c, t in FOLDS.items() if len(t) > 1])
+MARKS = _ranges([p for p in range(0x80, sys.maxunicode + 1) if unicodedata.combining(chr(p))])
 
 
 def fold(c: Column) -> Column:
-    """Latin letters without accents; combining marks dropped."""
-    return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), "\\p{M}+", "")
+    """Characters as they decompose where that gives ASCII (all letters of ligatures too); combining marks dropped."""
+    table = F.from_json(F.lit(SPELT), "map<string,string>")
+    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.regexp_replace(F.translate(F.when(c.rlike(SPELT_CLASS), spelt).otherwise(c), FOLD_FROM, FOLD_TO), MARKS + "+", "")
 
 
 def normalise(c: Column) -> Column:
     """Lower-case ASCII letters and digits, anything else one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(fold(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(fold(F.lower(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " "))
 
 
 def tag(c: Column) -> Column:

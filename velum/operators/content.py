@@ -28,7 +28,7 @@ def _idf(tokens: DataFrame, items: DataFrame) -> DataFrame:
 
 def text_block(items: DataFrame, column: str = "overview", min_df: int = 2, max_df: float = 0.65, most: int = 5000) -> DataFrame:
     """Words and word pairs of a text with 1+ln(tf) times idf; the ``most`` terms by total count, ties by term."""
-    words = F.filter(F.split(F.lower(fold(F.coalesce(column, F.lit("")))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 1)
+    words = F.filter(F.split(fold(F.lower(F.coalesce(column, F.lit("")))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 1)
     with_words = items.select("movieId", words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
     tf = with_words.select("movieId", F.explode(F.concat("w", pairs)).alias("feature")).groupBy("movieId", "feature").agg(F.count("*").alias("tf"))
