@@ -124,6 +124,12 @@ def test_normalise_decomposes_every_character(spark):
     assert got == {i: plain(x or "") for i, x in rows}
 
 
+def test_holdout_error_is_below_that_of_the_mean(spark):
+    rows = [(u, m, float(min(5, max(1, 3 + (1 if u % 2 == m % 2 else -1) + u % 3 - 1)))) for u in range(40) for m in range(30)]
+    got = factors.holdout_error(spark.createDataFrame(rows, "userId long, movieId long, rating double"), factors=4, iterations=5).first()
+    assert got.seen + got.held == len(rows) and got.held and got.rmse_model < 0.5 * got.rmse_mean
+
+
 def test_fold_in_equals_a_loop(spark):
     items = [(1, 0.1, [0.2, -0.3]), (2, -0.2, [0.5, 0.4])]
     seen = [(7, 0, 1, 5), (7, 1, 2, 2)]

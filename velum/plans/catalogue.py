@@ -240,6 +240,11 @@ def bmf_fold_in(spark, d):
     return _folded(spark, d).select("requestId", *r6("bias"), F.transform("factors", lambda x: F.round(x, 6)).alias("factors"))
 
 
+@query()
+def bmf_holdout_error(spark, d):
+    return factors.holdout_error(A.ratings(spark, d), factors=16, iterations=5, regular=0.3)
+
+
 VECTORS = "with v as (select vec_id, (label - 4.5) / 10 as bias, list_transform(embedding, lambda x: x::double) as f from embeddings), u as (select * from v where vec_id < 10)"
 
 
