@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from velum.llm import automaton, lines, mixing, neighbours, packing, perplexity, search, sketch, suffixes, templates
+from velum.llm import automaton, cascade, lines, mixing, neighbours, packing, perplexity, search, sketch, suffixes, templates
 from velum.llm.shared import query
 
 QUERIES = {
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_bin_slack_packing": query(packing.query, "documents"),
     "op9_latent_neighbours": query(neighbours.query, "documents", "labels"),
     "op10_setsketch_near_dup": query(sketch.query, "documents"),
+    "op13_bloom_cascade": query(cascade.query, "pages"),
 }
-SQL = {"op3_source_mixing": mixing.oracle()}
+SQL = {"op3_source_mixing": mixing.oracle(), "op13_bloom_cascade": cascade.oracle()}
