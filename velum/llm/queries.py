@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from velum.llm import automaton, cascade, lines, mixing, neighbours, packing, perplexity, phrases, search, sketch, suffixes, templates
+from velum.llm import alignment, automaton, cascade, lines, mixing, neighbours, packing, perplexity, phrases, search, sketch, suffixes, templates
 from velum.llm.shared import query
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_bin_slack_packing": query(packing.query, "documents"),
     "op9_latent_neighbours": query(neighbours.query, "documents", "labels"),
     "op10_setsketch_near_dup": query(sketch.query, "documents"),
+    "op11_segment_alignment": query(alignment.query, "documents"),
     "op12_count_tries": query(phrases.query, "documents"),
     "op13_bloom_cascade": query(cascade.query, "pages"),
 }
