@@ -60,7 +60,7 @@ def test_phrases_equal_brute_force(spark, monkeypatch, least, percent, top, shar
 def test_trie_levels():
     ids = np.asarray([0, 1, 0, 1, 2, 0, 1])
     link = np.asarray([True, True, True, True, False, True, False])
-    levels = list(phrases.trie(ids, link, 3, 5))
+    levels = list(phrases.trie(ids, link, np.ones(7, bool), 3, 5))
     assert levels[0][2].tolist() == [3, 3, 1]
     assert [list(map(tuple, zip(*map(np.ndarray.tolist, x), strict=True))) for x in levels[1:]] == [[(0, 1, 3), (1, 0, 1), (1, 2, 1)], [(0, 0, 1), (0, 2, 1), (1, 1, 1)], [(0, 1, 1), (2, 2, 1)], [(0, 2, 1)]]
 

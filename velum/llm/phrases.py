@@ -1,11 +1,10 @@
-"""Collocations: phrases of two to five words that occur more often than their parts would by chance.
+"""Collocations: phrases of two to five words that occur more often than their parts would by chance, per language (null: ``und``).
 
-Three passes over whole texts, per language (null: ``und``):
-
-1. Words are counted; those that occur often enough set a bit of their hash in a bitmap of a fixed size (:data:`BITS`).
-2. Pairs of such words are counted likewise. A phrase can't be more frequent than its words and pairs, so what the bitmaps
-   leave out is in no candidate, and bits that hashes share only let more through.
-3. Every shard (a few million words of a task) makes a count trie of at most five words' depth over what is left: a level is
+1. Words are counted, then pairs of frequent words, then triples of two frequent pairs, by 40 bits of their hash. A shard's counts
+   travel as one row a bucket (the upper 16 bits). What is frequent sets a bit of its hash in one bitmap of a fixed size
+   (:data:`BITS`). A phrase can't be more frequent than what it holds, so what the bitmap leaves out is in no candidate; bits
+   that hashes share only let more through.
+2. Every shard (a few million words of a task) makes a count trie of at most five words' depth over what is left: a level is
    the sorted distinct pairs of a node of the level before and a next word. The tries are written sorted, a row a node, dealt
    by ranges of whole paths and merged in their order; equal paths are added up. A range may begin anywhere in a subtree, so
    neither a frequent word nor a frequent prefix lands in one task, and rows grow with the nodes, not with shards times ranges.
@@ -16,8 +15,7 @@ phrases. Counts are 64-bit, products decimals of 38 digits.
 
 Null and empty texts have no words. Repeated rows count as often as they come. Texts of any length are read whole, in pieces of
 whole rows. Ties are broken by the phrase's bytes. Other columns than ``text`` and ``lang`` are not read. An empty table
-gives an empty one. Words of one language are told apart by their bytes; in passes 1 and 2 by 64-bit hashes, where a
-collision could only let more through.
+gives an empty one. What the tries count is told apart by its bytes.
 """
 
 from __future__ import annotations
@@ -70,68 +68,119 @@ def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(keys >> U(6) & U((1 << BITS - 6) - 1)).astype(np.int64)] >> (keys & U(63)) & U(1)) == 1
 
 
-def linked(keys: np.ndarray, begins: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words are frequent, and which of them have a frequent next word in their piece."""
-    ok = has(frequent, keys)
-    both = ok.copy()
-    both[-1] = False
-    both[:-1] &= ok[1:] & ~begins[1:]
-    return ok, both
+def links(keys: np.ndarray, begins: np.ndarray, bitmap: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """Which words are frequent (level 1), begin a frequent pair in their piece (2) and begin a frequent triple (3), and the hashes of the next level."""
+    ok = has(bitmap, keys)
+    two = ok.copy()
+    two[-1] = False
+    two[:-1] &= ok[1:] & ~begins[1:]
+    of_two = np.append(pairs(keys), U(0))
+    if level == 1:
+        return ok, two, of_two
+    two &= has(bitmap, of_two)
+    three = two.copy()
+    three[-1] = False
+    three[:-1] &= two[1:]
+    of_three = np.zeros(len(keys), U)
+    of_three[:-2] = mix(of_two[:-2] * U(0xD1342543DE82EF95) + keys[2:])
+    if level == 2:
+        return ok, two, three, of_three
+    return ok, two, three & has(bitmap, of_three)
+
+
+#: Lower bits of a hash within its bucket.
+LOW = 24
 
 
-def tally(docs: DataFrame, frequent=None) -> DataFrame:
-    """Rows ``h, n`` of hashed words (without ``frequent``, then also ``lang, n`` of all words) or of pairs of frequent words; a row a shard."""
+def tally(docs: DataFrame, bitmap=None, level: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Counts ``h, n`` of 40 bits of the hashes of words (``level`` 0), or of what is one word longer than the frequent things of ``level``; for words also ``lang, n`` of all words."""
+    kept, names = U((1 << 16 + LOW) - 1), ["lang", "total", "bucket", "low", "n"]
 
     def run(batches):
         held, size, totals = [], 0, {}
         for b in batches:
             for rows, _, _, _, keys, row, begins in words(b):
-                if frequent is None:
+                if level:
+                    *_, next_ones, keys = links(keys, begins, bitmap.value, level)
+                    keys = keys[next_ones]
+                else:
                     for lang, n in zip(rows.column(rows.schema.get_field_index("lang")).to_pylist(), np.bincount(row, minlength=rows.num_rows).tolist(), strict=True):
                         totals[lang] = totals.get(lang, 0) + n
-                else:
-                    both = linked(keys, begins, frequent.value)[1][:-1]
-                    keys = pairs(keys)[both]
-                held.append(keys)
+                held.append(keys & kept)
                 size += len(keys)
                 if size > SHARD_WORDS:
                     yield from flush(held)
                     held, size = [], 0
-        if held:
-            yield from flush(held)
+        yield from flush(held)
         if totals:
-            yield out(list(totals), None, list(totals.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64()), *(pa.nulls(len(totals), k) for k in (pa.int32(), pa.binary(), pa.binary()))], names)
 
     def flush(held):
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        for a in range(0, len(h), 200_000):
-            yield out(None, h[a : a + 200_000].view(np.int64), n[a : a + 200_000])
+        h, n = np.unique(np.concatenate(held), return_counts=True) if held else ([], [])
+        if not len(h):
+            return
+        bucket = (h >> U(LOW)).astype(np.int32)
+        at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(h))
+        low = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :3])
+        cells = [pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * wide).astype(np.int32)), pa.py_buffer(x)]) for x, wide in ((low, 3), (n.astype(np.uint32), 4))]
+        whole = pa.RecordBatch.from_arrays([pa.nulls(len(at) - 1, pa.string()), pa.nulls(len(at) - 1, pa.int64()), pa.array(bucket[at[:-1]]), *cells], names)
+        for a in range(0, whole.num_rows, 10_000):
+            yield whole.slice(a, 10_000)
+
+    def join(batches):
+        held, last, size = [], None, 0
+        for b in batches:
+            h, n, bucket = unpack(b)
+            held.append((h, n))
+            size += len(h)
+            if b.num_rows and (last is None or bucket[-1] != last or size > SHARD_WORDS):
+                h, n = added(held)
+                mine = h >> U(LOW) == U(bucket[-1])  # its other rows may come in the next batch
+                yield out(h[~mine], n[~mine])
+                held, last, size = [(h[mine], n[mine])], bucket[-1], 0
+        if held:
+            yield out(*added(held))
+
+    def unpack(b):
+        bucket, lows, ns = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_pylist()
+        h = np.zeros((sum(map(len, lows)) // 3, 8), np.uint8)
+        h[:, :3] = np.frombuffer(b"".join(lows), np.uint8).reshape(-1, 3)
+        many = np.fromiter(map(len, lows), np.int64, len(lows)) // 3
+        return h.view(U).ravel() | np.repeat(bucket.astype(U), many) << U(LOW), np.frombuffer(b"".join(ns), np.uint32).astype(np.int64), bucket
+
+    def added(held):
+        h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return h, np.bincount(at, np.concatenate([x for _, x in held]), len(h)).astype(np.int64)
 
-    def out(lang, h, n):
-        n = pa.array(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()) if lang is None else pa.array(lang, pa.string()), pa.nulls(len(n), pa.int64()) if h is None else pa.array(h), n], ["lang", "h", "n"])
+    def out(h, n):
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    return docs.mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(run, "lang string, total long, bucket int, low binary, n binary")
+    found = found if level else cut(found)  # read twice
+    counts = found.where("bucket is not null").select("bucket", "low", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(join, "h long, n long")
+    return counts, found.where("lang is not null").groupBy("lang").agg(F.sum("total").alias("n"))
 
 
-def bitmap(counts: DataFrame):
-    """The broadcast bits of the hashes; Spark joins equal words of the bitmap, of which there are 2**22 at most."""
-    at = counts.where("h is not null").select(F.col("h").bitwiseAND((1 << BITS) - 1).alias("p"))
+def marked(counts: DataFrame, least: int, before=None):
+    """The broadcast bits of the hashes counted ``least`` times, added to those of ``before``; Spark joins equal words of the bitmap, of which there are 2**22 at most."""
+    at = counts.where(F.col("n") >= least).select(F.col("h").bitwiseAND((1 << BITS) - 1).alias("p"))
     got = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << BITS - 6, U)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(U)
+    out = np.zeros(1 << BITS - 6, U) if before is None else before.value.copy()
+    out[got["word"].to_numpy()] |= got["bits"].to_numpy().view(U)
     return counts.sparkSession.sparkContext.broadcast(out)
 
 
-def trie(ids: np.ndarray, link: np.ndarray, n_words: int, depth: int):
+def trie(ids: np.ndarray, two: np.ndarray, three: np.ndarray, n_words: int, depth: int):
     """Levels of the count trie over a sequence of word ids: parents (positions in the level before), words and counts, sorted by path.
 
-    ``link`` says which positions go on to the next one.
+    ``two`` and ``three`` say which positions begin a frequent pair and a frequent triple.
     """
     node, at = ids, np.arange(len(ids))
     yield None, np.arange(n_words), np.bincount(ids, minlength=n_words)
     for d in range(1, depth):
-        goes = link[at + d - 1]
+        goes = two[at + d - 1]
+        if d > 1:
+            goes = goes & three[at + d - 2]
         node, at = node[goes], at[goes]
         found, node, n = np.unique(node * n_words + ids[at + d], return_inverse=True, return_counts=True)
         if not len(found):
@@ -139,21 +188,20 @@ def trie(ids: np.ndarray, link: np.ndarray, n_words: int, depth: int):
         yield found // n_words, found % n_words, n
 
 
-def tries(docs: DataFrame, frequent, joined, depth: int) -> DataFrame:
+def tries(docs: DataFrame, bitmap, depth: int) -> DataFrame:
     """The nodes of all shards' tries: ``lang, phrase, n``, sorted within each level of a shard."""
 
     def run(batches):
         names, held, size = {}, [], 0
         for b in batches:
             for rows, low, s, e, keys, row, begins in words(b):
-                ok, link = linked(keys, begins, frequent.value)
-                link[:-1] &= has(joined.value, pairs(keys))
+                ok, two, three = links(keys, begins, bitmap.value, 3)
                 found, first = np.unique(keys[ok], return_index=True)
                 raw, lang, own = low.tobytes(), rows.column(rows.schema.get_field_index("lang")), np.flatnonzero(ok)
                 for k, i in zip(found.tolist(), own[first].tolist(), strict=True):
                     if k not in names:
                         names[k] = (lang[int(row[i])].as_py(), raw[s[i] : e[i]].decode("utf-8", "replace"))
-                held.append((keys[ok], link[ok]))
+                held.append((keys[ok], two[ok], three[ok]))
                 size += len(own)
                 if size > SHARD_WORDS:
                     yield from flush(names, held)
@@ -166,11 +214,11 @@ def tries(docs: DataFrame, frequent, joined, depth: int) -> DataFrame:
             return
         known = np.asarray(sorted(names, key=names.__getitem__), np.uint64)
         by = np.argsort(known)
-        keys = np.concatenate([k for k, _ in held])
+        keys, two, three = (np.concatenate([x[c] for x in held]) for c in range(3))
         ids = by[np.searchsorted(known[by], keys)]
         lang, word = (pa.array([names[k][c] for k in known.tolist()], pa.string()) for c in (0, 1))
         above = None
-        for parent, last, n in trie(ids, np.concatenate([x for _, x in held]), len(known), depth):
+        for parent, last, n in trie(ids, two, three, len(known), depth):
             if parent is None:
                 phrase, own = word, lang
             else:
@@ -229,12 +277,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, depth: int = MOST_WORD
     """All phrases of up to ``depth`` words with ``least`` occurrences, and the number of words of each language."""
     lang = F.coalesce("lang", F.lit("und"))
     docs = docs.select("text", lang.alias("lang"), F.xxhash64(lang).alias("__lang"))
-    counts = cut(tally(docs).where(F.col("h").isNull() | (F.col("n") >= least)))
-    often = bitmap(counts)
-    joined = bitmap(tally(docs, often).where(F.col("n") >= least))
-    nodes = cut(tries(docs, often, joined, depth))
+    counts, totals = tally(docs)
+    bitmap = marked(counts, least)
+    for level in (1, 2):
+        bitmap = marked(tally(docs, bitmap, level)[0], least, bitmap)
+    nodes = cut(tries(docs, bitmap, depth))
     dealt = nodes.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return cut(merge(dealt, least)), counts.where("h is null").select("lang", "n")
+    return cut(merge(dealt, least)), totals
 
 
 def scored(frequent: DataFrame, totals: DataFrame, least_percent: int = PERCENT) -> DataFrame:
