@@ -51,11 +51,11 @@ def brute(rows, tools):
     return [(i, na, nb, ng, len(links), sum(count[x] == top[x[1]] for x in links), sum(count[x] for x in links), said, hashlib.sha256(said.encode()).hexdigest() if said else "") for i, na, nb, ng, links, said in whole]
 
 
-@pytest.mark.parametrize(("size", "odd"), [(1 << 20, True), (3000, True), (1 << 20, False)])
-def test_documents_equal_whole_tokenisation(spark, tools, size, odd):
-    """With characters that only one tokenizer keeps, and without; large shards and small ones."""
+@pytest.mark.parametrize(("size", "odd", "links"), [(1 << 20, True, 10**6), (3000, True, 0), (1 << 20, False, 0)])
+def test_documents_equal_whole_tokenisation(spark, tools, size, odd, links):
+    """With characters that only one tokenizer keeps, and without; large shards and small ones; counts of links broadcast and joined."""
     rows = [r[:2] for r in corpus.rows() if odd or "中" not in (r[1] or "")] + [(1000 + i, t) for i, t in enumerate(ODD if odd else ODD[3:12])]
-    got = alignment.align(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, segment string, n int").repartition(3), shard_bytes=size).collect()
+    got = alignment.align(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, segment string, n int").repartition(3), shard_bytes=size, broadcast_links=links).collect()
     want = brute(rows, tools)
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert (sum(w[1] == 0 and bool(t) for w, (_, t) in zip(want, rows, strict=True)) > 0) == odd

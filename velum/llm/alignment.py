@@ -9,9 +9,10 @@ document's tokens, groups and links are those of its segments, one after another
    counts, and the documents as sequences of these numbers.
 2. Equal segments of all shards meet, and each is tokenised and aligned once, in batches of arrays: with the ends of both
    tokenizers' tokens as byte offsets, links are the intervals between any ends, groups those between common ends.
-3. Links are counted over the corpus (segments weighted by their occurrences) and come back to the segments that have them.
+3. Links are counted over the corpus (segments weighted by their occurrences); the counts are broadcast to the segments if
+   there are at most :data:`BROADCAST_LINKS`, and joined to them if there are more.
 4. Alignments go back to the shards, where the documents are put together: a shard gets each of its distinct segments once,
-   so no segment is frequent there.
+   so no segment is frequent there. A segment's row names the shards that have it (12 bytes each).
 
 A document with a segment whose tokens don't give back its bytes has no tokens at all; its other segments' counts are
 taken back before links are counted. Null and empty texts have no tokens either: zeros, and an empty string. Rows come back as
@@ -36,11 +37,14 @@ from velum.llm.arrays import byte_spans, chunks, expand, ranges, squeeze
 from velum.llm.shared import cut
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
+#: Counts of links (17 bytes each) up to this number are broadcast.
+BROADCAST_LINKS = 2_000_000
 #: Segments aligned at once.
 BLOCK = 20_000
 ASCII_WHITE = " \t\n\x0b\x0c\r"
 MARK = "▁"
+AT = "array<struct<shard:bigint,local:int>>"
 STATS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -209,8 +213,8 @@ class Aligner:
         return {"ok": pa.array(ok), "n_a": pa.array(n[0]), "n_b": pa.array(n[1]), "n_groups": pa.array(n[2]), "links": lists, "groups": said}
 
 
-def aligned(counted: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """Adds to distinct segments ``segment, n`` what :meth:`Aligner.align` says."""
+def aligned(met: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """Adds to distinct segments ``segment, n, at`` what :meth:`Aligner.align` says."""
 
     def run(batches):
         aligner = None
@@ -221,12 +225,12 @@ def aligned(counted: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 got = aligner.align(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *got.values()], [*part.schema.names, *got])
 
-    return counted.mapInArrow(run, "segment string, n long, ok boolean, n_a long, n_b long, n_groups long, links array<long>, groups string")
+    return met.mapInArrow(run, f"segment string, n long, at {AT}, ok boolean, n_a long, n_b long, n_groups long, links array<long>, groups string")
 
 
 def taken_back(parts: DataFrame, bad: DataFrame) -> DataFrame:
     """``segment, less``: occurrences of segments in documents that have a bad segment, from the shards that have one."""
-    hit = parts.where("segment is not null").join(bad, "segment", "left_semi").groupBy("shard").agg(F.collect_set("local").alias("bad"))
+    hit = bad.select(F.inline("at")).groupBy("shard").agg(F.collect_set("local").alias("bad"))
 
     def run(batches):
         for b in batches:
@@ -241,50 +245,89 @@ def taken_back(parts: DataFrame, bad: DataFrame) -> DataFrame:
     return less.join(parts.where("segment is not null"), ["shard", "local"]).groupBy("segment").agg(F.sum("less").alias("less"))
 
 
-def compose(met: DataFrame, docs: DataFrame) -> DataFrame:
+def link_counts(weighted: DataFrame) -> DataFrame:
+    """``link, count, best``: occurrences of each pair of ids as a link, and whether no other link of its second id has more."""
+    links = weighted.where("ok and n > 0").select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
+    b_id = F.col("link").bitwiseAND((1 << 32) - 1)
+    return links.withColumn("best", F.max("count").over(Window.partitionBy(b_id)) == F.col("count"))
+
+
+def sent(found: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """``shard, local, said`` for every shard of every segment: the numbers of :data:`STATS` and the groups in one text, empty where tokens don't give the bytes back."""
+    known = None
+    if links.count() <= most:
+        got = links.orderBy("link").toArrow()
+        known = found.sparkSession.sparkContext.broadcast([got[c].to_numpy() for c in ("link", "count", "best")])
+    else:
+        asked = found.where("ok").select("segment", F.explode("links").alias("link"))
+        counts = asked.join(links, "link").groupBy("segment").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        found = found.join(counts, "segment", "left").na.fill(0, ["n_best", "count_sum"])
+
+    def run(batches):
+        for b in batches:
+            get = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            lists, at = get("links"), get("at")
+            edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            if known is None:
+                best, count = get("n_best").to_numpy(), get("count_sum").to_numpy()
+            elif len(known.value[0]):
+                links, counts, bests = known.value
+                flat = lists.flatten().to_numpy()
+                place = np.minimum(np.searchsorted(links, flat), len(links) - 1)
+                there = links[place] == flat  # a link of none but documents without tokens isn't counted
+                best, count = (np.diff(np.append(0, np.cumsum(np.where(there, x[place], 0)))[edge]) for x in (bests, counts))
+            else:
+                best = count = np.zeros(b.num_rows, np.int64)
+            numbers = zip(*(x.tolist() for x in (get("n_a"), get("n_b"), get("n_groups"), np.diff(edge), best, count)), strict=True)
+            said = [f"{' '.join(map(str, n))} {g}" if ok else "" for ok, n, g in zip(get("ok").to_pylist(), numbers, get("groups").to_pylist(), strict=True)]
+            row = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
+            places = at.flatten()
+            for a in range(0, len(row), BLOCK):
+                part = places.slice(a, BLOCK).flatten()
+                yield pa.RecordBatch.from_arrays([*part, pa.array(said, pa.string()).take(pa.array(row[a : a + BLOCK]))], ["shard", "local", "said"])
+
+    columns = ["at", "ok", "n_a", "n_b", "n_groups", "links", "groups", *(["n_best", "count_sum"] if known is None else [])]
+    return found.select(*columns).mapInArrow(run, "shard long, local int, said string")
+
+
+def compose(alignments: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents of shards from their segments' alignments."""
     schema = f"doc_id long, {', '.join(f'{c} long' for c in STATS)}, groups string, groups_sha256 string"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        packed = right["docs"][0].as_py()
-        ids, null, sizes, number = (expand(x, k) for x, k in zip(packed, (np.int64, np.uint8, np.int32, np.int32), strict=True))
+        ids, null, sizes, number = (expand(x, k) for x, k in zip(right["docs"][0].as_py(), (np.int64, np.uint8, np.int32, np.int32), strict=True))
         by = np.argsort(left["local"].to_numpy())
-        good = left["ok"].to_numpy()[by]
+        said = [x.split(" ") for x in left["said"].combine_chunks().take(pa.array(by)).to_pylist()]
+        groups = [x[-1] for x in said]
+        stats = np.asarray([x[:-1] if len(x) > 1 else [-1] * len(STATS) for x in said], np.int64).reshape(-1, len(STATS))
         edge = np.append(0, np.cumsum(sizes))
-        whole = (np.diff(np.append(0, np.cumsum(~good[number]))[edge]) == 0) & (sizes > 0)
+        whole = (np.diff(np.append(0, np.cumsum((stats[:, 0] < 0)[number]))[edge]) == 0) & (sizes > 0)
         out = [pa.array(ids, mask=null == 1)]
-        for c in STATS:
-            sums = np.diff(np.append(0, np.cumsum(left[c].to_numpy()[by][number]))[edge])
+        for c in range(len(STATS)):
+            sums = np.diff(np.append(0, np.cumsum(stats[:, c][number]))[edge])
             out.append(pa.array(np.where(whole, sums, 0)))
-        groups = left["groups"].combine_chunks().take(pa.array(by)).to_pylist()
-        said, number = [], number.tolist()
+        texts, number = [], number.tolist()
         for i, some in enumerate(whole.tolist()):
-            said.append(";".join(map(groups.__getitem__, number[edge[i] : edge[i + 1]])) if some else "")
-        digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in said]
-        return pa.Table.from_arrays([*out, pa.array(said, pa.large_string()).cast(pa.string()), pa.array(digest, pa.string())], names=["doc_id", *STATS, "groups", "groups_sha256"])
+            texts.append(";".join(map(groups.__getitem__, number[edge[i] : edge[i + 1]])) if some else "")
+        digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts]
+        return pa.Table.from_arrays([*out, pa.array(texts, pa.large_string()).cast(pa.string()), pa.array(digest, pa.string())], names=["doc_id", *STATS, "groups", "groups_sha256"])
 
-    return met.groupBy("shard").cogroup(docs.groupBy("of_shard")).applyInArrow(run, schema)
+    return alignments.groupBy("shard").cogroup(docs.groupBy("of_shard")).applyInArrow(run, schema)
 
 
-def align(docs: DataFrame, paths: tuple[str, str] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def align(docs: DataFrame, paths: tuple[str, str] | None = None, shard_bytes: int = SHARD_BYTES, broadcast_links: int = BROADCAST_LINKS) -> DataFrame:
     """One row a document: ``doc_id``, the counts of :data:`STATS`, its ``groups`` as text and their digest."""
     paths = paths or default_paths()
     parts = cut(shards(docs, Aligner(*paths).breaks, shard_bytes))
-    own = parts.where("segment is not null").select("shard", "local", "segment", "n")
-    found = cut(aligned(own.groupBy("segment").agg(F.sum("n").alias("n")), paths))
-    bad = found.where("not ok").select("segment")
-    if bad.isEmpty():
-        weighted = found
-    else:
-        weighted = found.join(taken_back(parts, bad), "segment", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0)))
-    links = weighted.where("ok and n > 0").select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
-    b_id = F.col("link").bitwiseAND((1 << 32) - 1)
-    links = cut(links.withColumn("best", F.max("count").over(Window.partitionBy(b_id)) == F.col("count")))
-    asked = found.where("ok").select("segment", F.explode("links").alias("link"))
-    counts = asked.join(links, "link").groupBy("segment").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    known = found.join(counts, "segment", "left").select("segment", "ok", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), *(F.coalesce(c, F.lit(0)).alias(c) for c in STATS[4:]), "groups")
-    met = own.select("shard", "local", "segment").join(known, "segment").drop("segment")
-    return compose(met, parts.where("docs is not null").select(F.col("shard").alias("of_shard"), "docs"))
+    own = parts.where("segment is not null").select("segment", "n", "shard", "local").repartition("segment")
+    met = own.groupBy("segment").agg(F.sum("n").alias("n"), F.collect_list(F.struct("shard", "local")).alias("at"))
+    found = cut(aligned(met, paths))
+    bad = found.where("not ok")
+    weighted = found.select("segment", "n", "ok", "links")
+    if not bad.isEmpty():
+        weighted = weighted.join(taken_back(parts, bad), "segment", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0)))
+    links = cut(link_counts(weighted))
+    return compose(sent(found, links, broadcast_links), parts.where("docs is not null").select(F.col("shard").alias("of_shard"), "docs"))
 
 
 def query(documents: DataFrame) -> DataFrame:
