@@ -43,7 +43,9 @@ BOXES = frozenset("details div dl figure ol section span table ul".split())
 OUTSIDE = frozenset(["header"])
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
-ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
+#: One attribute after another, name and value, so that nothing is found inside a value.
+ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+READ = frozenset("class hidden id role".split())
 
 
 class Node:
@@ -71,7 +73,14 @@ class Node:
 
 
 def attributes(raw: str) -> dict:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTR.finditer(raw)} if raw and "=" in raw or "hidden" in raw else {}
+    """The attributes that are read, by lower-case name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    if "=" in raw or "hidden" in raw.lower():
+        for m in ATTR.finditer(raw):
+            name = m[1].lower()
+            if name in READ:
+                out.setdefault(name, unescape(m[2] or m[3] or m[4] or ""))
+    return out
 
 
 def parse(html: str) -> Node:
