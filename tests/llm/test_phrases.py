@@ -49,7 +49,8 @@ def rows():
 
 @pytest.mark.parametrize(("least", "percent", "top", "shard"), [(5, 100, 2000, 10**6), (3, 60, 7, 300), (12, 100, 40, 50)])
 def test_phrases_equal_brute_force(spark, monkeypatch, least, percent, top, shard):
-    monkeypatch.setattr(phrases, "SHARD_WORDS", shard)
+    for name, value in (("SHARD_WORDS", shard), ("ROW_NODES", 16 if shard < 10**6 else 512), ("HELD", shard)):
+        monkeypatch.setattr(phrases, name, value)
     frame = spark.createDataFrame(rows(), SCHEMA).repartition(3)
     got = [tuple(r) for r in phrases.mine(frame, least, percent, top).orderBy("lang", "rank").collect()]
     want = brute(rows(), least, percent, top)

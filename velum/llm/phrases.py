@@ -5,9 +5,10 @@
    (:data:`BITS`). A phrase can't be more frequent than what it holds, so what the bitmap leaves out is in no candidate; bits
    that hashes share only let more through.
 2. Every shard (a few million words of a task) makes a count trie of at most five words' depth over what is left: a level is
-   the sorted distinct pairs of a node of the level before and a next word. The tries are written sorted, a row a node, dealt
-   by ranges of whole paths and merged in their order; equal paths are added up. A range may begin anywhere in a subtree, so
-   neither a frequent word nor a frequent prefix lands in one task, and rows grow with the nodes, not with shards times ranges.
+   the sorted distinct pairs of a node of the level before and a next word. The tries are serialised sorted, in rows of some
+   hundred nodes, and cut at the bounds of at most :data:`RANGES` ranges of whole paths, taken from a sample of the rows. The
+   runs of a range are merged and equal paths added up. A range may begin anywhere in a subtree, so neither a frequent word
+   nor a frequent prefix lands in one task.
 
 In the merged order a walk down the trie knows the counts of the left parts of every phrase (those of ancestors that stand
 in the range before are looked up); the right parts are the phrase's suffix links, looked up by a join with the frequent
@@ -20,6 +21,8 @@ gives an empty one. What the tries count is told apart by its bytes.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +39,8 @@ LEAST, PERCENT, TOP = 100, 100, 2000
 SHARD_WORDS = 2_000_000
 #: Bits of a bitmap, as a power of two: 32 MB.
 BITS = 28
+#: Nodes of a row, ranges of paths at most, and nodes of a range that are held before equal ones are added up.
+ROW_NODES, RANGES, HELD = 512, 1024, 2_000_000
 #: Parts in which a language's ranking begins.
 SALTS = 64
 
@@ -189,7 +194,7 @@ def trie(ids: np.ndarray, two: np.ndarray, three: np.ndarray, n_words: int, dept
 
 
 def tries(docs: DataFrame, bitmap, depth: int) -> DataFrame:
-    """The nodes of all shards' tries: ``lang, phrase, n``, sorted within each level of a shard."""
+    """The nodes of all shards' tries, sorted, in rows of lists ``lang, phrase, n``."""
 
     def run(batches):
         names, held, size = {}, [], 0
@@ -217,7 +222,7 @@ def tries(docs: DataFrame, bitmap, depth: int) -> DataFrame:
         keys, two, three = (np.concatenate([x[c] for x in held]) for c in range(3))
         ids = by[np.searchsorted(known[by], keys)]
         lang, word = (pa.array([names[k][c] for k in known.tolist()], pa.string()) for c in (0, 1))
-        above = None
+        levels, above = [], None
         for parent, last, n in trie(ids, two, three, len(known), depth):
             if parent is None:
                 phrase, own = word, lang
@@ -225,38 +230,92 @@ def tries(docs: DataFrame, bitmap, depth: int) -> DataFrame:
                 p = pa.array(parent)
                 phrase, own = pc.binary_join_element_wise(above[0].take(p), word.take(pa.array(last)), " "), above[1].take(p)
             above = (phrase, own)
-            whole = pa.RecordBatch.from_arrays([own, phrase, pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
-            for a in range(0, whole.num_rows, 50_000):
-                yield whole.slice(a, 50_000)
+            levels.append(pa.Table.from_arrays([own, phrase, pa.array(n.astype(np.int64))], NODE))
+        yield rows_of(in_order(pa.concat_tables(levels)), None)
+
+    return docs.mapInArrow(run, LISTS)
+
+
+NODE = ["lang", "phrase", "n"]
+LISTS = "lang array<string>, phrase array<string>, n array<long>"
+
+
+def in_order(nodes: pa.Table) -> pa.Table:
+    return nodes.sort_by([("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+
+
+def rows_of(nodes: pa.Table, edges: np.ndarray | None) -> pa.RecordBatch:
+    """Sorted nodes as rows of lists, cut at ``edges`` or after every :data:`ROW_NODES`."""
+    if edges is None:
+        edges = np.append(np.arange(0, nodes.num_rows, ROW_NODES), nodes.num_rows)
+    edges = pa.array(edges.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edges, nodes[c].combine_chunks()) for c in NODE], NODE)
+
+
+def flat(batch: pa.RecordBatch) -> pa.Table:
+    return pa.Table.from_arrays([batch.column(batch.schema.get_field_index(c)).flatten() for c in NODE], NODE)
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long")
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows cut at the bounds of ranges of paths: ``part`` and lists."""
+    many = rows.count()
+    parts = max(1, min(RANGES, many // 8))
+    first = rows.select(F.col("lang")[0].alias("lang"), F.col("phrase")[0].alias("phrase"))
+    firsts = sorted(tuple(r) for r in first.sample(min(1.0, 20 * parts / max(many, 1)), seed=7).collect())  # some 20,000 at most
+    bounds = sorted({firsts[len(firsts) * i // parts] for i in range(1, parts)}) if firsts else []
 
-def merge(nodes: DataFrame, least: int) -> DataFrame:
-    """Frequent phrases ``lang, phrase, size, a, lefts`` of sorted nodes: equal paths added, counts of ancestors from the walk (0: not in this range)."""
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                t = flat(b.slice(i, 1))
+                keys = list(zip(t["lang"].to_pylist(), t["phrase"].to_pylist(), strict=True))
+                low, high = bisect_right(bounds, keys[0]), bisect_right(bounds, keys[-1])
+                edges = np.asarray([0, *(bisect_left(keys, bounds[k]) for k in range(low, high)), len(keys)])
+                cut_up = rows_of(t, edges)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high + 1), pa.int32()), *cut_up.columns], ["part", *NODE])
+
+    return rows.mapInArrow(run, f"part int, {LISTS}").repartition(parts, "part").sortWithinPartitions("part")
+
+
+def merge(runs: DataFrame, least: int) -> DataFrame:
+    """Frequent phrases ``lang, phrase, size, a, lefts`` of the runs of each range: equal paths added, counts of ancestors from the walk (0: not in this range)."""
 
     def run(batches):
-        rest, path = None, []
+        held, part, size = [], None, 0
         for b in batches:
-            t = pa.Table.from_batches([b] if rest is None else [rest, b]).combine_chunks()
-            if not t.num_rows:
-                continue
-            new = np.zeros(t.num_rows, bool)
-            new[0] = True
-            for c in ("lang", "phrase"):
-                x = t[c].combine_chunks()
-                new[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(new)
-            sums = np.add.reduceat(t["n"].to_numpy(), starts)
-            last = int(starts[-1])
-            rest = pa.RecordBatch.from_arrays([t["lang"].combine_chunks().slice(last, 1), t["phrase"].combine_chunks().slice(last, 1), pa.array([int(sums[-1])], pa.int64())], ["lang", "phrase", "n"])
-            yield from walk(t.take(pa.array(starts[:-1][sums[:-1] >= least])), sums[:-1][sums[:-1] >= least], path)
-        if rest is not None and rest["n"][0].as_py() >= least:
-            yield from walk(pa.Table.from_batches([rest]), np.asarray([rest["n"][0].as_py()]), path)
-
-    def walk(t, sums, path):
-        rows = []
-        for lang, phrase, n in zip(t["lang"].to_pylist(), t["phrase"].to_pylist(), sums.tolist(), strict=True):
+            parts = b.column(0).to_numpy()
+            for a, z in zip(*(x.tolist() for x in stretches(parts)), strict=True):
+                if part is not None and parts[a] != part:
+                    yield from walk(added(held))
+                    held, size = [], 0
+                part = parts[a]
+                held.append(flat(b.slice(a, z - a)))
+                size += held[-1].num_rows
+                if size > HELD:
+                    held = [added(held)]
+                    size = held[0].num_rows // 2
+        if held:
+            yield from walk(added(held))
+
+    def stretches(parts):
+        new = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, np.int64)
+        return new, np.append(new[1:], len(parts)) if len(new) else new
+
+    def added(held):
+        t = in_order(pa.concat_tables(held))
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for c in NODE[:2]:
+            x = t[c].combine_chunks()
+            new[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(new)
+        n = np.add.reduceat(t["n"].to_numpy(), at) if len(at) else at
+        return pa.Table.from_arrays([*(t[c].take(pa.array(at)) for c in NODE[:2]), pa.array(n)], NODE)
+
+    def walk(t):
+        rows, path = [], []
+        t = t.filter(pc.greater_equal(t["n"], least))
+        for lang, phrase, n in zip(*(t[c].to_pylist() for c in NODE), strict=True):
             while path and not (path[-1][0] == lang and phrase.startswith(path[-1][1] + " ")):
                 path.pop()
             size = phrase.count(" ") + 1
@@ -266,11 +325,10 @@ def merge(nodes: DataFrame, least: int) -> DataFrame:
             path.append((lang, phrase, size, n))
             rows.append((lang, phrase, size, n, lefts))
         if rows:
-            columns = list(zip(*rows, strict=True))
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "phrase", "size", "a", "lefts"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "phrase", "size", "a", "lefts"])
 
-    return nodes.mapInArrow(run, "lang string, phrase string, size int, a long, lefts array<long>")
+    return runs.mapInArrow(run, "lang string, phrase string, size int, a long, lefts array<long>")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, depth: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -282,8 +340,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, depth: int = MOST_WORD
     for level in (1, 2):
         bitmap = marked(tally(docs, bitmap, level)[0], least, bitmap)
     nodes = cut(tries(docs, bitmap, depth))
-    dealt = nodes.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return cut(merge(dealt, least)), totals
+    return cut(merge(dealt(nodes), least)), totals
 
 
 def scored(frequent: DataFrame, totals: DataFrame, least_percent: int = PERCENT) -> DataFrame:
