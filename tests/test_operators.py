@@ -150,7 +150,6 @@ def test_factorization_learns(spark):
     mu, users, items = factors.train(data, factors=4, iterations=5)
     guess = data.join(users.toDF("userId", "bu", "p"), "userId").join(items.toDF("movieId", "bi", "q"), "movieId").select((F.lit(mu) + F.col("bu") + F.col("bi") + factors.dot(F.col("p"), F.col("q")) - F.col("rating")).alias("e"))
     assert guess.agg(F.sqrt(F.avg(F.col("e") ** 2))).first()[0] < 0.8
-    assert factors.descend(data, 4, 30, 0.05, 0.01).first().rmse < 1.2
 
 
 def test_mmr_with_full_weight_keeps_score_order(spark):
@@ -211,9 +210,9 @@ def test_listings(spark):
 
     items = spark.createDataFrame([(i, f"T{i % 3}", i / 10 if i % 7 else None) for i in range(200)], "movieId long, title string, score double").repartition(5)
     order = [F.col("score").desc(), F.col("title"), F.col("movieId")]
-    places = [r.movieId for r in catalogue.ranked(items, order, "place", step=catalogue.grid(F.col("score"))).orderBy("place").collect()]
+    places = [r.movieId for r in catalogue.ranked(items, order, "place").orderBy("place").collect()]
     assert places == [r.movieId for r in items.orderBy(F.col("score").desc_nulls_last(), "title", "movieId").collect()]
-    assert catalogue.ranked(items.where("movieId < 0"), order, "place", step=catalogue.grid(F.col("score"))).count() == 0
+    assert catalogue.ranked(items.where("movieId < 0"), order, "place").count() == 0
     assert listings.lookup(items, 5).first().title == "T2"
     for wrong in (-1,):
         with pytest.raises(Exception, match="rows found"):

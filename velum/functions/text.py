@@ -28,15 +28,20 @@ FOLD_FROM = "".join(c for c, t in FOLDS.items() if len(t) == 1)
 FOLD_TO = "".join(FOLDS[c] for c in FOLD_FROM)
 #: Those of several characters, few in any text.
 SPELT = json.dumps({c: t for c, t in FOLDS.items() if len(t) > 1})
-SPELT_CLASS = _ranges([ord(c) for c, t in FOLDS.items() if len(t) > 1])
-MARKS = _ranges([p for p in range(0x80, sys.maxunicode + 1) if unicodedata.combining(chr(p))])
+#: Characters below these are told apart first, as nearly all are: testing a long class for each of them is slow.
+LATIN = "(?=[^\\x00-\\x{24F}])"
+SPELT_LOW = _ranges([ord(c) for c, t in FOLDS.items() if len(t) > 1 and ord(c) < 0x250])
+SPELT_CLASS = f"(?:{SPELT_LOW}|{LATIN}" + _ranges([ord(c) for c, t in FOLDS.items() if len(t) > 1 and ord(c) >= 0x250]) + ")"
+MARKS = f"(?:{LATIN}" + _ranges([p for p in range(0x80, sys.maxunicode + 1) if unicodedata.combining(chr(p))]) + ")"
 
 
 def fold(c: Column) -> Column:
-    """Characters as they decompose where that gives ASCII (all letters of ligatures too); combining marks dropped."""
+    """Characters as they decompose where that gives ASCII (all letters of ligatures too); combining marks dropped. ASCII texts are returned as they are."""
     table = F.from_json(F.lit(SPELT), "map<string,string>")
-    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.regexp_replace(F.translate(F.when(c.rlike(SPELT_CLASS), spelt).otherwise(c), FOLD_FROM, FOLD_TO), MARKS + "+", "")
+    pieces = F.split(c, f"(?<={SPELT_CLASS})|(?={SPELT_CLASS})")
+    spelt = F.array_join(F.transform(pieces, lambda x: F.when(F.length(x) == 1, F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
+    single = F.translate(F.when(c.rlike(SPELT_CLASS), spelt).otherwise(c), FOLD_FROM, FOLD_TO)
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.regexp_replace(single, MARKS + "+", ""))
 
 
 def normalise(c: Column) -> Column:

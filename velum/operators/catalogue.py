@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from velum.functions import constants as K
 from velum.functions.numbers import round_even
-from velum.functions.text import has_phrase, normalise, tag
+from velum.functions.text import normalise, tag
+from velum.sources.written import written
 
 col = F.col
 
@@ -109,10 +110,11 @@ def certification(us: Column, es: Column) -> Column:
 
 
 def blocked_terms(texts: Column) -> Column:
-    """Blocked terms, in order, that occur as whole words in any of an array of texts."""
-    ready = F.transform(texts, normalise)
-    holds = lambda t: F.exists(ready, lambda x: has_phrase(x, _plain(t)))
-    return listed(*[(holds(t), t) for t in K.BLOCKED_TERMS])
+    """Blocked terms, in order, that occur as whole words in any of an array of texts, which are normalised once and searched as one."""
+    whole = F.concat(F.lit(" "), F.array_join(F.transform(texts, normalise), " | "), F.lit(" "))
+    terms = F.array(*[F.struct(F.lit(t).alias("name"), F.lit(f" {_plain(t)} ").alias("phrase")) for t in K.BLOCKED_TERMS])
+    found = F.transform(F.array(whole), lambda x: F.filter(terms, lambda t: F.contains(x, t["phrase"])))[0]
+    return F.transform(found, lambda t: t["name"])
 
 
 def _plain(term: str) -> str:
@@ -120,8 +122,13 @@ def _plain(term: str) -> str:
 
 
 def classify(items: DataFrame) -> DataFrame:
-    """Adds ``publicBlockedTerms, suitabilityCategory, suitabilityReasons``; needs ``us, es, genres, keywords, texts``."""
-    items = items.withColumns({"publicBlockedTerms": blocked_terms(col("texts")), "__cert": certification(col("us"), col("es")), "__bad": overlap(col("genres"), K.SENSITIVE_GENRES), "__good": overlap(col("genres"), K.BOOST_GENRES) | overlap(F.transform("keywords", F.lower), K.FAMILY_TERMS)})
+    """Adds ``publicBlockedTerms, suitabilityCategory, suitabilityReasons``; needs ``us, es, genres, keywords, texts``.
+
+    The blocked terms come out of a generator of one row, through which filters on later columns aren't pushed: the search would be
+    copied into every condition that depends on it.
+    """
+    items = items.select("*", F.inline(F.array(F.struct(blocked_terms(col("texts")).alias("publicBlockedTerms")))))
+    items = items.withColumns({"__cert": certification(col("us"), col("es")), "__bad": overlap(col("genres"), K.SENSITIVE_GENRES), "__good": overlap(col("genres"), K.BOOST_GENRES) | overlap(F.transform("keywords", F.lower), K.FAMILY_TERMS)})
     cert, bad, good = col("__cert"), col("__bad"), col("__good")
     step = F.when(bad & (cert == "family_friendly"), "teen").when(bad & (cert == "unknown"), "adult_or_sensitive").otherwise(cert)
     open_ = step == "unknown"
@@ -222,27 +229,18 @@ def public_order() -> list[Column]:
 
 
 
-def ranked(items: DataFrame, order: list, name: str = "rank", *, step: Column) -> DataFrame:
-    """Places in ``order`` without one task for all rows.
+def ranked(items: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Places in a whole ``order`` without one task for all rows, however many have the same score.
 
-    ``step`` is a whole number that never falls along the order, such as its first key on a grid: rows are numbered within a step,
-    and the few rows that count the steps say how many stand before.
+    Rows are sorted by ranges of the whole order and written once; a row's place is its place in its range plus the rows of the ranges before.
     """
-    stepped = items.withColumn("__step", step.cast("long"))
-    sizes = stepped.groupBy(F.coalesce("__step", F.lit(NO_STEP)).alias("__of")).agg(F.count("*").alias("__many"))
-    before = F.sum("__many").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))  # one row a step
-    sizes = sizes.select("__of", F.coalesce(before, F.lit(0)).alias("__before"))
-    met = stepped.join(F.broadcast(sizes), F.coalesce("__step", F.lit(NO_STEP)) == col("__of"))
-    return met.withColumn(name, col("__before") + F.row_number().over(Window.partitionBy("__of").orderBy(*order))).drop("__step", "__of", "__before")
-
-
-#: Rows without a step come last.
-NO_STEP = (1 << 63) - 1
-
-
-def grid(score: Column) -> Column:
-    """Steps of a score that sorts downwards."""
-    return -F.floor(score * 256)
+    dealt = written(items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    range_of = F.shiftright("__at", 33)  # the id's upper bits are the partition, the lower ones count its rows
+    sizes = dealt.groupBy(range_of.alias("__of")).agg(F.count("*").alias("__many"))  # one row a range
+    before = F.coalesce(F.sum("__many").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__of", before.alias("__before"))
+    met = dealt.join(F.broadcast(sizes), range_of == col("__of"))
+    return met.withColumn(name, col("__before") + col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__of", "__before")
 
 
 def partition(items: DataFrame) -> DataFrame:

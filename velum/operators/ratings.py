@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.functions import constants as K
-from velum.operators.catalogue import grid, ranked
+from velum.operators.catalogue import ranked
 
 col = F.col
 
@@ -57,7 +57,7 @@ def popularity(items: DataFrame) -> DataFrame:
     a, b = K.POPULARITY_WEIGHTS
     score = a * mean * (n / (n + K.POPULARITY_PRIOR)) + b * stand
     rated = items.where((n > 0) & (mean > 0)).select("movieId", score.alias("score"))
-    return ranked(rated, [col("score").desc(), col("movieId")], step=grid(col("score")))
+    return ranked(rated, [col("score").desc(), col("movieId")])
 
 
 def fillers(ranking: DataFrame, requests: DataFrame, taken: DataFrame, limit: int, universe: DataFrame | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def fillers(ranking: DataFrame, requests: DataFrame, taken: DataFrame, limit: in
     """
     if universe is not None:
         kept = ranking.join(universe.select("movieId").distinct(), "movieId", "left_semi")
-        ranking = ranked(kept.withColumnRenamed("rank", "__old"), [col("__old")], step=F.floor(col("__old") / 4096)).drop("__old")
+        ranking = ranked(kept.withColumnRenamed("rank", "__old"), [col("__old")]).drop("__old")
     depth = taken.groupBy("requestId").agg(F.count("*").alias("n"))
     places = requests.join(depth, "requestId", "left").withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(0).cast("long")) + limit))).drop("n")
     free = places.join(ranking, "rank").join(taken, ["requestId", "movieId"], "left_anti")

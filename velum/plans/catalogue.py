@@ -47,7 +47,7 @@ RATED = A.cte(*A.RATED)
 
 @query(BASE + " select movieId, title, ratingCount, averageRating, dataReliabilityScore, recencyScore, userTagsScore, candidateScore, row_number() over (order by candidateScore desc, recencyScore desc, dataReliabilityScore desc, ratingCount desc, averageRating desc, title, movieId) as \"rank\" from (select *  replace (round(recencyScore, 6) as recencyScore) from candidates)")
 def candidate_scores(spark, d):
-    return catalogue.ranked(A.candidates(spark, d).withColumn("recencyScore", F.round("recencyScore", 6)), catalogue.candidate_order(), step=catalogue.grid(col("candidateScore"))).select("movieId", "title", "ratingCount", "averageRating", "dataReliabilityScore", "recencyScore", "userTagsScore", "candidateScore", *big("rank"))
+    return catalogue.ranked(A.candidates(spark, d).drop("overview", "texts").withColumn("recencyScore", F.round("recencyScore", 6)), catalogue.candidate_order()).select("movieId", "title", "ratingCount", "averageRating", "dataReliabilityScore", "recencyScore", "userTagsScore", "candidateScore", *big("rank"))
 
 
 @query(BASE + """, f as (select ratingCount >= 20 as a, distinctTagCount >= 2 as b, tmdbId is not null as c, year between 1990 and 2020 as e from candidates)
@@ -288,7 +288,7 @@ ORDER = "standDisplayScore desc, case suitabilityCategory when 'family_friendly'
 
 
 def _public(spark, d):
-    return catalogue.ranked(A.items(spark, d).where("isPublic"), catalogue.public_order(), step=catalogue.grid(col("standDisplayScore")))
+    return catalogue.ranked(A.items(spark, d).where("isPublic").drop("overview", "texts"), catalogue.public_order())
 
 
 @query(FULL + f" select movieId, title, standDisplayScore, suitabilityCategory, row_number() over (order by {ORDER}) as \"rank\" from public")
@@ -504,7 +504,7 @@ def _recommended(spark, d):
     """Popularity lists for the evaluation cases, from the other users' ratings."""
     r, c = A.ratings(spark, d), _cases(spark, d)
     train = catalogue.rating_summary(ratings.train_split(r, c))
-    ranking = catalogue.ranked(train.select("movieId", (col("averageRating") * col("ratingCount") / (col("ratingCount") + 25)).alias("score")), [F.round("score", 9).desc(), col("movieId")], step=catalogue.grid(F.round("score", 9)))
+    ranking = catalogue.ranked(train.select("movieId", (col("averageRating") * col("ratingCount") / (col("ratingCount") + 25)).alias("score")), [F.round("score", 9).desc(), col("movieId")])
     inputs = c.where("role = 'input'").select(col("userId").alias("requestId"), "movieId")
     return ratings.fillers(ranking, c.select(col("userId").alias("requestId"), F.lit(0).alias("have")).distinct(), inputs, 50).select(col("requestId").alias("caseId"), "movieId", "rank"), c
 
@@ -650,16 +650,22 @@ def _signal(c):
     return c
 
 
-@query()
-def content_evidence_signals(spark, d):
-    index, it = _whole_index(spark, d), A.items(spark, d)
-    profiles = content.profile(A.sessions(spark, d), index)
-    best = content.content_score(_whole_similar(spark, d), it).where("rank <= 10").select("requestId", "movieId")
+def _signals(best, profiles, index):
+    """Signals of recommended movies, strongest first, and those of the requests' profiles."""
     place = F.row_number().over(Window.partitionBy("requestId", "movieId").orderBy(F.round("w", 9).desc(), "feature"))
     liked = profiles.where("kind = 'positive'").select("requestId", "feature", col("weight").alias("p"))
     met = best.join(index.select("movieId", "feature", "weight"), "movieId").join(liked, ["requestId", "feature"]).select("requestId", "movieId", "feature", (col("p") * col("weight")).alias("w")).withColumn("n", place).where("n <= 12")
     ordered = lambda n, v: F.transform(F.array_sort(F.collect_list(F.struct(n, v))), lambda x: x[v])
     signals = met.withColumn("signal", _signal(col("feature"))).groupBy("requestId", "movieId").agg(ordered("n", "signal").alias("signals"))
     top = content.signals(profiles).withColumn("signal", _signal(col("feature"))).groupBy("requestId").pivot("kind", ["positive", "negative"]).agg(ordered("rank", "signal"))
+    return signals, top
+
+
+@query()
+def content_evidence_signals(spark, d):
+    index, it = _whole_index(spark, d), A.items(spark, d)
+    profiles = content.profile(A.sessions(spark, d), index)
+    best = content.content_score(_whole_similar(spark, d), it).where("rank <= 10").select("requestId", "movieId")
+    signals, top = _signals(best, profiles, index)
     rows, _ = content_evidence.evidence(signals.join(it.select("movieId", "genres"), "movieId"), top)
     return rows.select("requestId", "movieId", "display", "source", *r6("score"), "generic", *big("place"))

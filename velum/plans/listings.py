@@ -23,21 +23,19 @@ def query(sql: str):
 
 @query(FULL + " select movieId, row_number() over (order by ratingCount desc, averageRating desc, dataReliabilityScore desc, candidateScore desc, title, movieId) as place from items where isCollaborative")
 def collaborative_listing(spark, d):
-    rows = A.items(spark, d).where("isCollaborative")
-    return catalogue.ranked(rows, listings.collaborative_order(), "place", step=-F.floor(F.log2("ratingCount") * 16)).select("movieId", *big("place"))
+    rows = A.items(spark, d).where("isCollaborative").drop("overview", "texts")
+    return catalogue.ranked(rows, listings.collaborative_order(), "place").select("movieId", *big("place"))
 
 
 @query(FULL + " select movieId, row_number() over (order by suitabilityCategory <> 'adult_or_sensitive', candidateScore desc, ratingCount desc, title, movieId) as place from items where len(publicExclusionReasons) > 0")
 def excluded_listing(spark, d):
-    rows = A.items(spark, d).where("not isPublic")
-    adult = F.when(col("suitabilityCategory") == "adult_or_sensitive", 0).otherwise(100_000)
-    return catalogue.ranked(rows, listings.excluded_order(), "place", step=adult - F.floor(col("candidateScore") * 256)).select("movieId", *big("place"))
+    rows = A.items(spark, d).where("not isPublic").drop("overview", "texts")
+    return catalogue.ranked(rows, listings.excluded_order(), "place").select("movieId", *big("place"))
 
 
 @query(FULL + " select movieId, row_number() over (order by len(publicExclusionReasons) > 0, coalesce(filteredRatingCount, 0) desc, filteredAverageRating desc nulls last, title, movieId) as place from items")
 def rated_listing(spark, d):
-    step = F.when(col("isPublic"), 0).otherwise(100_000) - F.floor(F.log2(F.coalesce("filteredRatingCount", F.lit(0)) + 1) * 16)
-    return catalogue.ranked(A.items(spark, d), listings.rated_order(), "place", step=step).select("movieId", *big("place"))
+    return catalogue.ranked(A.items(spark, d).drop("overview", "texts"), listings.rated_order(), "place").select("movieId", *big("place"))
 
 
 FLAGGED = f"with f as ({base.SQL['audit_flags']}), i as ({FULL} select * from items)"
