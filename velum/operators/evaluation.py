@@ -74,3 +74,32 @@ def time_calls(call: Callable[[], object], repeats: int = 3) -> list[float]:
         call()
         out.append((time.perf_counter() - t) * 1000)
     return out
+
+
+def quality_at(recommended: DataFrame, holdouts: DataFrame, ks: list[int]) -> DataFrame:
+    """``recommender, k, cases, hit, recall, precision, ndcg, mrr, map, belowLimit, empty, shown``: means over the cases at every k, of all recommenders in one pass.
+
+    ``recommended`` has ``recommender, caseId, movieId, rank``, without repeats of a case's movie, ``holdouts`` ``caseId, movieId``. Lists
+    and held-out movies meet once; sums that run along the rank give what every k needs. A case without a list counts 0 with every
+    recommender and is below every limit; cases without held-out movies aren't cases. ``shown`` are distinct movies up to k.
+    """
+    ks = sorted(set(ks))
+    size = holdouts.distinct().groupBy("caseId").agg(F.count("*").alias("h"))
+    held = holdouts.select("caseId", "movieId").distinct().withColumn("held", F.lit(1))
+    run = Window.partitionBy("recommender", "caseId").orderBy("rank", "movieId").rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.coalesce(col("held"), F.lit(0))
+    met = recommended.where(col("rank") <= ks[-1]).join(size, "caseId").join(held, ["caseId", "movieId"], "left").withColumn("hits", F.sum(hit).over(run))
+    met = met.withColumns({"dcg": F.sum(hit / F.log2(col("rank") + 1)).over(run), "precisions": F.sum(hit * col("hits") / col("rank")).over(run), "first": F.min(F.when(hit == 1, col("rank"))).over(run)})
+    up_to = lambda k: F.max(F.when(col("rank") <= k, F.struct("rank", "movieId", "hits", "dcg", "precisions", "first")))
+    each = met.groupBy("recommender", "caseId").agg(F.first("h").alias("h"), *(up_to(k).alias(f"at{k}") for k in ks), *(F.count_if(col("rank") <= k).alias(f"n{k}") for k in ks))
+    each = each.select("recommender", "h", F.inline(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), col(f"at{k}").alias("x"), col(f"n{k}").alias("n")) for k in ks))))
+    best = F.least("h", "k")
+    ideal = F.aggregate(F.sequence(F.lit(1), best.cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    hits = F.coalesce(col("x.hits"), F.lit(0))
+    means = {"hit": (hits > 0).cast("double"), "recall": hits / col("h"), "precision": hits / col("k"), "ndcg": zero(col("x.dcg") / ideal), "mrr": zero(1 / col("x.first")), "map": zero(col("x.precisions") / best)}
+    sums = each.groupBy("recommender", "k").agg(*(F.sum(v).alias(n) for n, v in means.items()), F.count_if(col("n") >= col("k")).alias("full"), F.count_if(col("n") > 0).alias("some"))
+    shown = recommended.where(col("rank") <= ks[-1]).join(size, "caseId", "left_semi").groupBy("recommender", "movieId").agg(F.min("rank").alias("best"))
+    shown = shown.groupBy("recommender").agg(*(F.count_if(col("best") <= k).alias(f"s{k}") for k in ks)).select(col("recommender").alias("who"), F.inline(F.array(*(F.struct(F.lit(k).cast("long").alias("of"), col(f"s{k}").alias("shown")) for k in ks))))
+    out = sums.join(shown, (col("who") == col("recommender")) & (col("of") == col("k"))).crossJoin(F.broadcast(size.agg(F.count("*").alias("cases"))))  # one row
+    return out.select("recommender", "k", "cases", *((col(n) / col("cases")).alias(n) for n in means), (col("cases") - col("full")).alias("belowLimit"), (col("cases") - col("some")).alias("empty"), "shown")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.functions import constants as K
-from velum.operators.catalogue import AUDIENCE_REASONS, overlap, strings
+from velum.operators.catalogue import AUDIENCE_REASONS, overlap, public_order, ranked, strings
+from velum.operators.ratings import fillers
+from velum.sources.written import written
 
 col = F.col
 
@@ -166,3 +168,82 @@ def typed(rows: DataFrame) -> DataFrame:
         number("averageRating", "double").alias("averageRating"), number("ratingCount", "long").alias("ratingCount"), F.lower(F.trim(F.coalesce(col("isPublic"), F.lit("")))).isin("true", "1", "yes").alias("isPublic"),
     )
     return out.where(col("movieId").isNotNull() & col("title").isNotNull())
+
+
+def ordered_union(*lists: DataFrame, key: str = "movieId") -> DataFrame:
+    """``key, place``: every key of several sorted lists once, where it first stands, in the order of the lists and of their rows.
+
+    A row's order is (list, partition, place in it), as :func:`DataFrame.orderBy` leaves the rows, written once so that it can't change; the first
+    of each key is found by grouping, and places are counted by ranges, so no task holds all rows. Rows without a key are left out.
+    """
+    out = None
+    for i, frame in enumerate(lists):
+        part = written(frame.select(key).withColumn("__at", F.monotonically_increasing_id())).select(key, F.lit(i).alias("__list"), "__at")
+        out = part if out is None else out.unionByName(part)
+    first = out.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("__list", "__at")).alias("__first"))
+    return ranked(first, [F.col("__first"), F.col(key)], "place").select(key, "place")
+
+
+def checked_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join in which every row of ``left`` must meet exactly one of ``right``: a lost or doubled key raises an error with its value where it is met.
+
+    The check is part of the plan, so no second pass is needed and nothing is returned before it has passed. Keys that only ``right`` has may
+    repeat; a null key of ``left`` is lost.
+    """
+    others = [c for c in right.columns if c != key]
+    clash = set(others) & set(left.columns)
+    if clash:
+        raise ValueError(f"columns on both sides: {', '.join(sorted(clash))}")
+    once = right.groupBy(key).agg(F.count("*").alias("__n"), F.first(F.struct(*others)).alias("__x"))
+    met = left.join(once, key, "left")
+    named = lambda text: F.raise_error(F.concat(F.lit(text), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    sound = F.when(F.col("__n").isNull(), named(f"lost {key} ").cast("boolean")).when(F.col("__n") > 1, named(f"doubled {key} ").cast("boolean")).otherwise(F.lit(True))
+    return met.where(sound).select(*left.columns, *(F.col(f"__x.{c}").alias(c) for c in others))
+
+
+def filled(personal: DataFrame, requests: DataFrame, ranking: DataFrame, taken: DataFrame, limit: int) -> DataFrame:
+    """``requestId, movieId, rank, score, fallback``: personal lists, and for what each of them lacks to ``limit`` the most popular movies that its request has neither rated nor been given.
+
+    ``personal`` has ``requestId, movieId, rank, score``, ``requests`` every ``requestId``, ``taken`` ``requestId, movieId``. The shortfall is carried by request,
+    so a full list asks for nothing and one without a personal movie for all.
+    """
+    own = personal.where(F.col("rank") <= limit).select("requestId", "movieId", F.col("rank").cast("long").alias("rank"), "score", F.lit(False).alias("fallback"))
+    have = requests.select("requestId").distinct().join(own.groupBy("requestId").agg(F.count("*").alias("have")), "requestId", "left").select("requestId", F.coalesce("have", F.lit(0)).alias("have"))
+    short = have.where(F.col("have") < limit)
+    given = taken.select("requestId", "movieId").unionByName(own.select("requestId", "movieId")).distinct().join(short.select("requestId"), "requestId", "left_semi")
+    return own.unionByName(fillers(ranking, short, given, limit).select("requestId", "movieId", F.col("rank").cast("long").alias("rank"), "score", "fallback"))
+
+
+def build(items: DataFrame, public_limit: int | None = None, core_limit: int | None = None) -> DataFrame:
+    """The catalogue build: ``part, place, movieId, roles`` of three overlapping selections, each in its own order.
+
+    ``public`` movies and the collaborative ``core`` end at their limits (none: all), ``excluded`` has every movie with a reason. A public
+    movie is ``collaborative_core`` too if the limited core has it; a core movie has the public roles if it is public, listed or not.
+    ``items`` is what :func:`catalogue.roles` returns, read once for the three.
+    """
+    need = ["movieId", "title", "isPublic", "isCollaborative", "standDisplayScore", "suitabilityCategory", "recencyScore", "candidateScore", "dataReliabilityScore", "ratingCount", "averageRating", "popularity"]
+    items = written(items.select(*need))
+    cut = lambda frame, limit: frame if limit is None else frame.where(F.col("place") <= limit)
+    public = cut(ranked(items.where("isPublic"), public_order(), "place"), public_limit)
+    core = cut(ranked(items.where("isCollaborative"), collaborative_order(), "place"), core_limit)
+    excluded = ranked(items.where("not isPublic"), excluded_order(), "place")
+    seen = strings(["public", "recommendable", "rateable"])
+    also = core.select("movieId", F.lit(True).alias("core"))
+    row = lambda frame, part, roles: frame.select(F.lit(part).alias("part"), F.col("place").cast("long").alias("place"), "movieId", roles.alias("roles"))
+    mark = strings(["collaborative_core"])
+    out = row(public.join(also, "movieId", "left"), "public", F.when(F.col("core"), F.concat(seen, mark)).otherwise(seen))
+    out = out.unionByName(row(core, "core", F.when(F.col("isPublic"), F.concat(seen, mark)).otherwise(mark)))
+    return out.unionByName(row(excluded, "excluded", strings(["excluded_sensitive"])))
+
+
+def build_summary(items: DataFrame, public_limit: int | None = None, core_limit: int | None = None) -> DataFrame:
+    """``name, n``: the counters of a build in one pass."""
+    has = lambda *names: F.forall(strings(names), lambda n: F.array_contains("publicExclusionReasons", n))
+    most = lambda n, limit: n if limit is None else F.least(n, F.lit(limit).cast("long"))
+    public, core = F.count_if("isPublic"), F.count_if("isCollaborative")
+    counts = {
+        "totalInputItems": F.count("*"), "publicEligibleMovies": public, "publicCatalog": most(public, public_limit), "collaborativeCore": most(core, core_limit), "excludedOrSensitive": F.count_if(~col("isPublic")),
+        "publicDocumentaryExclusions": F.count_if(has("documentary")), "publicShortRuntimeExclusions": F.count_if(has("short_runtime")), "publicDocumentaryAndShortRuntimeExclusions": F.count_if(has("documentary", "short_runtime")),
+    } | {f"{n}InputCount": F.count_if(col("suitabilityCategory") == c) for n, c in (("familyFriendly", "family_friendly"), ("teen", "teen"), ("adultOrSensitive", "adult_or_sensitive"), ("unknown", "unknown"))}
+    one = items.agg(*(v.alias(k) for k, v in counts.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), col(k).alias("n")) for k in counts))))
