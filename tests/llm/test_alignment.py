@@ -21,7 +21,7 @@ def brute(rows, tools):
     whole = []
     for i, text in rows:
         spaced = (" " + text).encode() if text else b""
-        a = tools.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        a = tools.a.tokenizer.encode(" " + text, add_special_tokens=False).ids if text else []
         b = tools.b.encode(text) if text else []
         at = [tools.a_tokens[x] for x in a], [tools.b_tokens[x] for x in b]
         if b"".join(at[0]) != spaced or b"".join(at[1]) != spaced:

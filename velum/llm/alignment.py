@@ -24,17 +24,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.llm.arrays import byte_spans, chunks, expand, ranges, squeeze
 from velum.llm.shared import cut
+from velum.llm.tokens import Encoder
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
@@ -45,6 +46,8 @@ BLOCK = 20_000
 ASCII_WHITE = " \t\n\x0b\x0c\r"
 MARK = "▁"
 AT = "array<struct<shard:bigint,local:int>>"
+#: What is said of a segment whose tokens don't give its bytes back.
+NOTHING = "-1 0 0 0 0 0 "
 STATS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -67,13 +70,17 @@ def breaks(a_tokens: list[bytes], b_pieces: list[str]) -> bytes:
 
 def after_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether the character before each place is white space of any script (or a control character that some call so)."""
-    p1, p2, p3 = (data[np.maximum(at - i, 0)] for i in (1, 2, 3))
+    p1 = data[at - 1]
     out = (p1 == 32) | (p1 >= 9) & (p1 <= 13) | (p1 >= 28) & (p1 <= 31)
-    out |= (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)) & (at > 1)
+    wide = np.flatnonzero(p1 >= 0x80)
+    at, p1 = at[wide], p1[wide]
+    p2, p3 = (data[np.maximum(at - i, 0)] for i in (2, 3))
+    found = (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)) & (at > 1)
     three = at > 2
-    out |= three & (p3 == 0xE1) & ((p2 == 0x9A) & (p1 == 0x80) | (p2 == 0xA0) & (p1 == 0x8E))
-    out |= three & (p3 == 0xE2) & ((p2 == 0x80) & ((p1 <= 0x8A) | (p1 == 0xA8) | (p1 == 0xA9) | (p1 == 0xAF)) | (p2 == 0x81) & (p1 == 0x9F))
-    return out | three & (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)
+    found |= three & (p3 == 0xE1) & ((p2 == 0x9A) & (p1 == 0x80) | (p2 == 0xA0) & (p1 == 0x8E))
+    found |= three & (p3 == 0xE2) & ((p2 == 0x80) & ((p1 <= 0x8A) | (p1 == 0xA8) | (p1 == 0xA9) | (p1 == 0xAF)) | (p2 == 0x81) & (p1 == 0x9F))
+    out[wide] = found | three & (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)
+    return out
 
 
 def segments(data: np.ndarray, offs: np.ndarray, breaking: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,13 +90,18 @@ def segments(data: np.ndarray, offs: np.ndarray, breaking: bytes) -> tuple[np.nd
     offs = offs + np.concatenate([[0], np.cumsum(some)])
     can = np.zeros(256, bool)
     can[list(breaking)] = True
-    at = np.flatnonzero(can[data])
-    at = at[(at > 0) & ~after_white(data, at)]
-    return data, offs, np.union1d(at, offs[:-1][some])
+    begins = can[data]
+    begins[:1] = False
+    at = np.flatnonzero(begins)
+    begins[at[after_white(data, at)]] = False
+    begins[offs[:-1][some]] = True
+    return data, offs, np.flatnonzero(begins)
 
 
 def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place and number of each value of two hashes together; the second one is sorted only if the first one fails."""
+    if not len(h1):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, first, number = np.unique(h1, return_index=True, return_inverse=True)
     if not (h2[first][number] == h2).all():
         _, first, number = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True, return_inverse=True)
@@ -102,32 +114,33 @@ def shards(docs: DataFrame, breaking: bytes, shard_bytes: int) -> DataFrame:
 
     def run(batches):
         task, made = TaskContext.get().partitionId() << 32, 0
-        texts, held, size = {}, [], 0
+        held, size = [], 0
         for b in batches:
             for rows, data, offs in chunks(b):
                 data, offs, begin = segments(data, offs, breaking)
                 end = np.append(begin[1:], len(data))
                 h = [byte_spans(data, w).of(begin, end) for w in (0, 1)]
-                first, _ = distinct(*h)
-                raw = data.tobytes()
-                for i in first.tolist():
-                    texts.setdefault((int(h[0][i]), int(h[1][i])), raw[begin[i] : end[i]])
-                held.append((rows.column(0), np.diff(np.searchsorted(begin, offs)), *h))
+                first, number = distinct(*h)
+                sizes = end[first] - begin[first]
+                texts = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(data[ranges(begin[first], sizes)])])
+                held.append((rows.column(0), np.diff(np.searchsorted(begin, offs)), h[0][first], h[1][first], texts, number, np.bincount(number, minlength=len(first))))
                 size += len(data)
                 if size >= shard_bytes:
-                    yield from flush(task + made, texts, held)
-                    made, texts, held, size = made + 1, {}, [], 0
+                    yield from flush(task + made, held)
+                    made, held, size = made + 1, [], 0
         if held:
-            yield from flush(task + made, texts, held)
-
-    def flush(shard, texts, held):
-        h1, h2 = (np.concatenate([x[c] for x in held]) for c in (2, 3))
-        first, number = distinct(h1, h2) if len(h1) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        n = np.bincount(number, minlength=len(first))
-        own = [texts[int(h1[i]), int(h2[i])] for i in first.tolist()]
+            yield from flush(task + made, held)
+
+    def flush(shard, held):
+        """Numbers of pieces of the shard become those of the whole shard."""
+        first, of = distinct(*(np.concatenate([x[c] for x in held]) for c in (2, 3)))
+        n = np.bincount(of, np.concatenate([x[6] for x in held]), len(first)).astype(np.int64)
+        at = np.append(0, np.cumsum([len(x[2]) for x in held]))
+        number = np.concatenate([of[a:z][x[5]] for a, z, x in zip(at, at[1:], held, strict=False)])
+        own = pa.concat_arrays([x[4] for x in held]).take(pa.array(first)).cast(pa.string())
         for a in range(0, len(own), BLOCK):
-            part = own[a : a + BLOCK]
-            yield out([shard] * len(part), np.arange(a, a + len(part)), pa.array(part, pa.binary()).cast(pa.string()), n[a : a + BLOCK], None)
+            part = own.slice(a, BLOCK)
+            yield out([shard] * len(part), np.arange(a, a + len(part)), part, n[a : a + BLOCK], None)
         ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
         parts = [squeeze(ids.fill_null(0).to_numpy()), squeeze(ids.is_null().to_numpy(zero_copy_only=False).view(np.uint8)), squeeze(np.concatenate([x[1] for x in held]).astype(np.int32)), squeeze(number.astype(np.int32))]
         yield out([shard], None, None, None, pa.array([parts], pa.list_(pa.binary())))
@@ -146,12 +159,9 @@ class Aligner:
     """Tokens of segments under both tokenizers, and what they have to do with each other."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a = Encoder(a_path, keep=200_000)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         with open(a_path, encoding="utf-8") as f:
             said = json.load(f)
@@ -171,11 +181,12 @@ class Aligner:
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each tokenizer: ids of all segments and how many each has. The second one puts a space before what it gets, so a first space is left away, and where there is none its token goes."""
-        first = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        raw = [t.encode() for t in texts]
+        a_ids, at = self.a.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))))
         spaced = [t.startswith(" ") for t in texts]
         second = self.b.encode([t[1:] if s else t for t, s in zip(texts, spaced, strict=True)], num_threads=1)
         second = [ids if s and len(t) > 1 else [self.space] if s else ids[1:] if ids[:1] == [self.space] else [] for ids, s, t in zip(second, spaced, texts, strict=True)]
-        return [(np.fromiter(chain.from_iterable(x), np.int64), np.fromiter(map(len, x), np.int64, len(x))) for x in (first, second)]
+        return [(a_ids.astype(np.int64), np.diff(at)), (np.fromiter(chain.from_iterable(second), np.int64), np.fromiter(map(len, second), np.int64, len(second)))]
 
     def align(self, texts: list[str]) -> dict:
         """Per segment: ``ok`` (both give its bytes), ``n_a, n_b, n_groups``, the links as ``a << 32 | b``, and the groups as text."""
@@ -253,7 +264,7 @@ def link_counts(weighted: DataFrame) -> DataFrame:
 
 
 def sent(found: DataFrame, links: DataFrame, most: int) -> DataFrame:
-    """``shard, local, said`` for every shard of every segment: the numbers of :data:`STATS` and the groups in one text, empty where tokens don't give the bytes back."""
+    """``shard, local, said`` for every shard of every segment: the numbers of :data:`STATS` and the groups in one text, :data:`NOTHING` where tokens don't give the bytes back."""
     known = None
     if links.count() <= most:
         got = links.orderBy("link").toArrow()
@@ -279,7 +290,7 @@ def sent(found: DataFrame, links: DataFrame, most: int) -> DataFrame:
             else:
                 best = count = np.zeros(b.num_rows, np.int64)
             numbers = zip(*(x.tolist() for x in (get("n_a"), get("n_b"), get("n_groups"), np.diff(edge), best, count)), strict=True)
-            said = [f"{' '.join(map(str, n))} {g}" if ok else "" for ok, n, g in zip(get("ok").to_pylist(), numbers, get("groups").to_pylist(), strict=True)]
+            said = [f"{' '.join(map(str, n))} {g}" if ok else NOTHING for ok, n, g in zip(get("ok").to_pylist(), numbers, get("groups").to_pylist(), strict=True)]
             row = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
             places = at.flatten()
             for a in range(0, len(row), BLOCK):
@@ -297,18 +308,19 @@ def compose(alignments: DataFrame, docs: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, null, sizes, number = (expand(x, k) for x, k in zip(right["docs"][0].as_py(), (np.int64, np.uint8, np.int32, np.int32), strict=True))
         by = np.argsort(left["local"].to_numpy())
-        said = [x.split(" ") for x in left["said"].combine_chunks().take(pa.array(by)).to_pylist()]
-        groups = [x[-1] for x in said]
-        stats = np.asarray([x[:-1] if len(x) > 1 else [-1] * len(STATS) for x in said], np.int64).reshape(-1, len(STATS))
+        fields = pc.split_pattern(left["said"].combine_chunks().take(pa.array(by)), " ").flatten()
+        column = lambda c: fields.take(pa.array(np.arange(c, len(fields), len(STATS) + 1)))
+        stats = [column(c).cast(pa.int64()).to_numpy() for c in range(len(STATS))]
+        groups = column(len(STATS)).to_pylist()
         edge = np.append(0, np.cumsum(sizes))
-        whole = (np.diff(np.append(0, np.cumsum((stats[:, 0] < 0)[number]))[edge]) == 0) & (sizes > 0)
+        whole = (np.diff(np.append(0, np.cumsum((stats[0] < 0)[number]))[edge]) == 0) & (sizes > 0)
         out = [pa.array(ids, mask=null == 1)]
         for c in range(len(STATS)):
-            sums = np.diff(np.append(0, np.cumsum(stats[:, c][number]))[edge])
+            sums = np.diff(np.append(0, np.cumsum(stats[c][number]))[edge])
             out.append(pa.array(np.where(whole, sums, 0)))
-        texts, number = [], number.tolist()
+        texts = []
         for i, some in enumerate(whole.tolist()):
-            texts.append(";".join(map(groups.__getitem__, number[edge[i] : edge[i + 1]])) if some else "")
+            texts.append(";".join(map(groups.__getitem__, number[edge[i] : edge[i + 1]].tolist())) if some else "")
         digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts]
         return pa.Table.from_arrays([*out, pa.array(texts, pa.large_string()).cast(pa.string()), pa.array(digest, pa.string())], names=["doc_id", *STATS, "groups", "groups_sha256"])
 
