@@ -53,5 +53,6 @@ FOLD_STEPS, FOLD_RATE, FOLD_REGULAR = 25, 0.01, 0.05
 # Evidence of content explanations.
 SIGNAL_WEIGHTS = {"tag": 1.00, "keyword": 0.95, "text": 0.70, "genre": 0.55}
 SIGNAL_OTHER = 0.82
+SIGNAL_FACTORS = {"generic": 0.72, "telling_pair": 1.18, "tagged": 1.08, "genre": 0.92, "idle_share": 0.40, "idle_least": 0.45, "five_words": 0.74, "four_words": 0.88, "three_words": 1.05}
 GENERIC_SIGNALS = ["action", "adventure", "animation", "comedy", "family", "fantasy", "science fiction", "drama", "romance"]
 SILENT_SIGNALS = ["duringcreditsstinger", "aftercreditsstinger", "woman director", "based on novel or book", "based on true story", "sequel", "from", "his", "her", "to stop", "cliche", "anti villain", "villain arrested", "dyslexia", "pin-up", "u.s. air force", "pearl harbor", "young", "man", "woman", "finds"]

@@ -6,7 +6,7 @@ import json
 import sys
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,15 @@ def fold(c: Column) -> Column:
     return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.regexp_replace(single, MARKS + "+", ""))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with costly columns that are computed once a row.
+
+    They come out of a generator of one row: the optimizer copies an ordinary column's expression into every condition, lambda and
+    column that uses it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def normalise(c: Column) -> Column:
     """Lower-case ASCII letters and digits, anything else one space, trimmed."""
     return F.trim(F.regexp_replace(fold(F.lower(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " "))

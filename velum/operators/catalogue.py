@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from velum.functions import constants as K
 from velum.functions.numbers import round_even
-from velum.functions.text import normalise, tag
+from velum.functions.text import normalise, once, tag
 from velum.sources.written import written
 
 col = F.col
@@ -124,10 +124,9 @@ def _plain(term: str) -> str:
 def classify(items: DataFrame) -> DataFrame:
     """Adds ``publicBlockedTerms, suitabilityCategory, suitabilityReasons``; needs ``us, es, genres, keywords, texts``.
 
-    The blocked terms come out of a generator of one row, through which filters on later columns aren't pushed: the search would be
-    copied into every condition that depends on it.
+    The blocked terms are searched once a row, whatever depends on them.
     """
-    items = items.select("*", F.inline(F.array(F.struct(blocked_terms(col("texts")).alias("publicBlockedTerms")))))
+    items = once(items, publicBlockedTerms=blocked_terms(col("texts")))
     items = items.withColumns({"__cert": certification(col("us"), col("es")), "__bad": overlap(col("genres"), K.SENSITIVE_GENRES), "__good": overlap(col("genres"), K.BOOST_GENRES) | overlap(F.transform("keywords", F.lower), K.FAMILY_TERMS)})
     cert, bad, good = col("__cert"), col("__bad"), col("__good")
     step = F.when(bad & (cert == "family_friendly"), "teen").when(bad & (cert == "unknown"), "adult_or_sensitive").otherwise(cert)

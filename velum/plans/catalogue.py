@@ -467,7 +467,9 @@ def content_score_whole(spark, d):
     return content.content_score(_whole_similar(spark, d), A.items(spark, d)).select("requestId", "movieId", *r6("score"))
 
 
-@query()
+@query(WHOLE + PROFILE_TAIL + """, shown as (select *, replace(regexp_replace(feature, '^[a-zA-Z]+:', ''), '_', ' ') as display, regexp_matches(feature, '^(context|suitability):') as plain from profiles where kind <> 'combined' and weight > 0),
+singles as (select * from shown qualify row_number() over (partition by requestId, kind, display order by round(weight, 9) desc, feature) = 1)
+select requestId, kind, display, round(weight, 6) as weight, row_number() over (partition by requestId, kind order by plain, round(weight, 9) desc, feature) as "rank" from singles qualify "rank" <= 10""")
 def profile_signals(spark, d):
     return content.signals(content.profile(A.sessions(spark, d), _whole_index(spark, d))).select("requestId", "kind", "display", *r6("weight"), *big("rank"))
 
