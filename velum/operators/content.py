@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.functions import constants as K
-from velum.functions.text import fold, slug
+from velum.functions.text import fold, once, slug
 
 col = F.col
 
@@ -29,7 +29,7 @@ def _idf(tokens: DataFrame, items: DataFrame) -> DataFrame:
 def text_block(items: DataFrame, column: str = "overview", min_df: int = 2, max_df: float = 0.65, most: int = 5000) -> DataFrame:
     """Words and word pairs of a text with 1+ln(tf) times idf; the ``most`` terms by total count, ties by term."""
     words = F.filter(F.split(fold(F.lower(F.coalesce(column, F.lit("")))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 1)
-    with_words = items.select("movieId", words.alias("w"))
+    with_words = once(items.select("movieId", column), w=words).select("movieId", "w")
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
     tf = with_words.select("movieId", F.explode(F.concat("w", pairs)).alias("feature")).groupBy("movieId", "feature").agg(F.count("*").alias("tf"))
     by = tf.groupBy("feature").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
@@ -60,7 +60,9 @@ def profile(session: DataFrame, features: DataFrame) -> DataFrame:
     """``requestId, kind, feature, weight``: unit vectors of all (combined), liked (positive) and disliked (negative) movies, weighted by (rating-3)/2."""
     w = (col("rating") - 3) / 2
     met = session.where("rating <> 3").select("requestId", "movieId", w.alias("w")).join(features, "movieId")
-    both = met.select("requestId", F.lit("combined").alias("kind"), "feature", (col("w") * col("weight")).alias("x")).union(met.select("requestId", F.when(col("w") > 0, "positive").otherwise("negative"), "feature", F.abs("w") * col("weight")))
+    x = col("w") * col("weight")
+    parts = F.array(F.struct(F.lit("combined").alias("kind"), x.alias("x")), F.struct(F.when(col("w") > 0, "positive").otherwise("negative").alias("kind"), F.abs(x).alias("x")))
+    both = met.select("requestId", "feature", F.inline(parts))  # one pass over the join for all three
     by = both.groupBy("requestId", "kind", "feature").agg(F.sum("x").alias("weight")).where(F.abs("weight") > 1e-12)
     return unit(by, "requestId", "kind")
 

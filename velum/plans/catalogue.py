@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from velum.operators import audit, catalogue, content, content_evidence, evaluation, explain, factors, neighbours, ratings
 from velum.plans import adapters as A
+from velum.sources.written import written
 
 col = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,7 +364,8 @@ idx as (select movieId, block, feature, weight / sqrt(sum(weight * weight) over
 
 
 def _structured(spark, d):
-    it = A.items(spark, d).withColumns({"suitability": F.array("suitabilityCategory"), "context": F.array(audit.decade())})
+    it = A.items(spark, d).select("movieId", "genres", "userTags", "keywords", F.array("suitabilityCategory").alias("suitability"), F.array(audit.decade()).alias("context"))
+    it = written(it)  # every block reads it
     return [content.structured_block(it, c, p, i) for c, p, i in (("genres", "genre", False), ("userTags", "tag", True), ("keywords", "keyword", True), ("suitability", "suitability", False), ("context", "context", False))]
 
 
@@ -452,8 +454,9 @@ def user_profile_whole(spark, d):
     return content.profile(A.sessions(spark, d), _whole_index(spark, d)).select("requestId", "kind", "feature", *r6("weight"))
 
 
-def _whole_similar(spark, d):
-    index, s = _whole_index(spark, d), A.sessions(spark, d)
+def _whole_similar(spark, d, index=None):
+    """The index, read several times, is written once."""
+    index, s = index or written(_whole_index(spark, d)), A.sessions(spark, d)
     return content.similarity(content.profile(s, index), index, s, A.movies(spark, d))
 
 
@@ -476,7 +479,8 @@ def profile_signals(spark, d):
 
 @query()
 def mmr(spark, d):
-    return content.diversify(content.content_score(_whole_similar(spark, d), A.items(spark, d)), _whole_index(spark, d)).select("requestId", "movieId", *r6("mmr"), *big("rank"))
+    index = written(_whole_index(spark, d))
+    return content.diversify(content.content_score(_whole_similar(spark, d, index), A.items(spark, d)), index).select("requestId", "movieId", *r6("mmr"), *big("rank"))
 
 
 @query(FULL + SESSIONS + """ select requestId, case when f >= t + 2 then 'family' when t >= f + 2 then 'teen' else 'mixed' end as style from (select requestId, sum(case when suitabilityCategory = 'family_friendly' then 2 else 0 end + case when list_has_any(genres, ['Animation', 'Family']) then 1 else 0 end) as f,
@@ -665,9 +669,9 @@ def _signals(best, profiles, index):
 
 @query()
 def content_evidence_signals(spark, d):
-    index, it = _whole_index(spark, d), A.items(spark, d)
-    profiles = content.profile(A.sessions(spark, d), index)
-    best = content.content_score(_whole_similar(spark, d), it).where("rank <= 10").select("requestId", "movieId")
+    index, it = written(_whole_index(spark, d)), A.items(spark, d)
+    profiles = written(content.profile(A.sessions(spark, d), index))
+    best = content.content_score(_whole_similar(spark, d, index), it).where("rank <= 10").select("requestId", "movieId")
     signals, top = _signals(best, profiles, index)
     rows, _ = content_evidence.evidence(signals.join(it.select("movieId", "genres"), "movieId"), top)
     return rows.select("requestId", "movieId", "display", "source", *r6("score"), "generic", *big("place"))
