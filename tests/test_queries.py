@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from velum.plans import audit_tables, catalogue, listings
+from velum.plans import audit_tables, catalogue, listings, models
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["candidate_scores", "item_knn_neighbors", "user_knn_recommend", "public_catalog", "content_index", "eval_ranking_metrics", "rating_histogram", "tag_topk", "audit_flags", "bmf_score_modes", "stable_choice_sha256", "popularity_fillers", "content_similarity", *listings.QUERIES, *audit_tables.QUERIES]
-QUERIES, SQL = catalogue.QUERIES | listings.QUERIES | audit_tables.QUERIES, catalogue.SQL | listings.SQL | audit_tables.SQL
+NAMES = ["candidate_scores", "item_knn_neighbors", "user_knn_recommend", "public_catalog", "content_index", "eval_ranking_metrics", "rating_histogram", "tag_topk", "audit_flags", "bmf_score_modes", "stable_choice_sha256", "popularity_fillers", "content_similarity", "profile_signals", *listings.QUERIES, *audit_tables.QUERIES, *models.SQL]
+QUERIES, SQL = catalogue.QUERIES | listings.QUERIES | audit_tables.QUERIES | models.QUERIES, catalogue.SQL | listings.SQL | audit_tables.SQL | models.SQL
 
 
 @pytest.fixture(scope="module")

@@ -38,8 +38,9 @@ MARKS = f"(?:{LATIN}" + _ranges([p for p in range(0x80, sys.maxunicode + 1) if u
 def fold(c: Column) -> Column:
     """Characters as they decompose where that gives ASCII (all letters of ligatures too); combining marks dropped. ASCII texts are returned as they are."""
     table = F.from_json(F.lit(SPELT), "map<string,string>")
-    pieces = F.split(c, f"(?<={SPELT_CLASS})|(?={SPELT_CLASS})")
-    spelt = F.array_join(F.transform(pieces, lambda x: F.when(F.length(x) == 1, F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
+    first = lambda x: F.substring(x, 1, 1)
+    pieces = F.transform(F.split(c, f"(?={SPELT_CLASS})"), lambda x: F.concat(F.coalesce(F.try_element_at(table, first(x)), first(x)), F.substring(x, 2, 1 << 30)))
+    spelt = F.array_join(pieces, "")
     single = F.translate(F.when(c.rlike(SPELT_CLASS), spelt).otherwise(c), FOLD_FROM, FOLD_TO)
     return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.regexp_replace(single, MARKS + "+", ""))
 
@@ -50,7 +51,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     They come out of a generator of one row: the optimizer copies an ordinary column's expression into every condition, lambda and
     column that uses it.
     """
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
 def normalise(c: Column) -> Column:
