@@ -93,6 +93,11 @@ def test_popularity(spark):
     assert len(out) == 1 and round(out[0].score, 6) == 2.356667
 
 
+def test_popularity_ties_go_by_id(spark):
+    rows = spark.createDataFrame([(1, 500, 500, 4.0, 4.0, 0.6), (2, 500, 500, 4.0 + 1e-12, 4.0, 0.6)], "movieId long, filteredRatingCount long, ratingCount long, filteredAverageRating double, averageRating double, standDisplayScore double")
+    assert [r.movieId for r in ratings.popularity(rows).orderBy("rank").collect()] == [1, 2]
+
+
 def test_ranking_metrics(spark):
     rec = spark.createDataFrame([(1, i, i) for i in range(1, 6)], "caseId long, movieId long, rank int")
     hold = spark.createDataFrame([(1, 2), (1, 4)], "caseId long, movieId long")

@@ -57,7 +57,7 @@ def popularity(items: DataFrame) -> DataFrame:
     a, b = K.POPULARITY_WEIGHTS
     score = a * mean * (n / (n + K.POPULARITY_PRIOR)) + b * stand
     rated = items.where((n > 0) & (mean > 0)).select("movieId", score.alias("score"))
-    return ranked(rated, [col("score").desc(), col("movieId")])
+    return ranked(rated, [F.round("score", 9).desc(), col("movieId")])
 
 
 def fillers(ranking: DataFrame, requests: DataFrame, taken: DataFrame, limit: int, universe: DataFrame | None = None) -> DataFrame:
