@@ -1,6 +1,7 @@
 """Hand-computed values of the scores, models and metrics."""
 
 import math
+import random
 import re
 import unicodedata
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from velum.functions import text
-from velum.operators import audit, catalogue, content, evaluation, explain, factors, neighbours, ratings
+from velum.operators import audit, catalogue, content, evaluation, explain, factors, lists, neighbours, ratings
 
 ROWS = [(1, 10, 5.0), (1, 20, 4.0), (1, 30, 1.0), (2, 10, 4.0), (2, 20, 5.0), (3, 10, 2.0), (3, 20, 1.0), (3, 30, 5.0), (4, 20, 3.0), (4, 30, 4.5)]
 
@@ -40,6 +41,37 @@ def test_user_neighbours(spark, rated):
     assert [(r.userId, r.overlap, round(r.raw, 6), round(r.similarity, 6)) for r in got] == [(1, 2, 0.664364, 0.049212), (3, 2, 0.083045, 0.006152)]
 
 
+def test_item_neighbour_ties_go_by_id(spark):
+    """Movies 2 and 3 are proportional: their cosines with 1 are equal, but for the last bits of 3's, which are larger."""
+    rows = [(u, m, r) for m, rs in ((1, (0.5, 2.0, 2.5)), (2, (0.5, 0.5, 0.5)), (3, (1.5, 1.5, 1.5))) for u, r in enumerate(rs)]
+    model = neighbours.item_neighbours(spark.createDataFrame(rows, "userId long, movieId long, rating double"), 2, 10)
+    assert [r.neighborId for r in model.where("movieId = 1").orderBy("rank").collect()] == [2, 3]
+
+
+@pytest.mark.parametrize("length", [2, 128])
+def test_sums_over_lists_equal_loops(spark, monkeypatch, length):
+    monkeypatch.setattr(lists, "LENGTH", length)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # keys go on over batches
+    try:
+        rnd = random.Random(1)
+        rows = {(u, m): rnd.randint(1, 10) / 2 for u in range(12) for m in range(9) if rnd.random() < 0.7}
+        r = spark.createDataFrame([(u, m, x) for (u, m), x in rows.items()], "userId long, movieId long, rating double")
+        pairs = {(a, b): [(x, rows[u, b]) for (u, m), x in rows.items() if m == a and (u, b) in rows] for a in range(9) for b in range(9) if a != b}
+        norm = {m: math.sqrt(sum(x * x for (_, n), x in rows.items() if n == m)) for m in range(9)}
+        want = {(a, b): (len(v), round(sum(x * y for x, y in v) / norm[a] / norm[b], 9)) for (a, b), v in pairs.items() if len(v) >= 2}
+        assert {(n.movieId, n.neighborId): (n.support, round(n.similarity, 9)) for n in neighbours.item_neighbours(r, 2, 100).collect()} == want
+        c = ratings.centred(r)
+        asked = c.select(F.col("userId").alias("requestId"), "movieId", "rating")
+        near = neighbours.user_neighbours(asked, c)
+        plain = near.join(c, "userId").groupBy("requestId", "movieId").agg(F.count("*").alias("n"), F.sum(F.col("similarity") * F.col("centred")).alias("s"), F.sum("similarity").alias("m")).collect()
+        assert {(p.requestId, p.movieId): (p.neighbors, round(p.raw, 9)) for p in neighbours.user_predictions(near, c).collect()} == {(p.requestId, p.movieId): (p.n, round(3 + p.s / p.m, 9)) for p in plain}
+        left = {(p.requestId, p.movieId): p.raw and round(p.raw, 9) for p in neighbours.user_predictions(near, c, wanted=asked).collect()}
+        known = {(p.requestId, p.movieId): round(3 + p.s / p.m, 9) for p in plain}
+        assert left == {k: known.get(k) for k in rows}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_scalar_scores(spark):
     one = spark.range(1)
     v = one.select(catalogue.reliability(F.lit(100), F.lit(4.0), F.lit(1000)).alias("a"), *[catalogue.recency(F.lit(y).cast("int")).alias(f"y{y}") for y in (1989, 1990, 2008, 2025, 2026)], catalogue.recency(F.lit(None).cast("int")).alias("none"), catalogue.tag_signal(F.array(*[F.lit(str(i)) for i in range(5)])).alias("t")).first()
