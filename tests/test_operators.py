@@ -137,6 +137,16 @@ def test_ranking_metrics(spark):
     assert (round(r.ndcg, 6), r.map, r.mrr, r.recall) == (0.650921, 0.5, 0.5, 1.0)
 
 
+def test_prediction_metrics_hold_no_errors_in_one_task(spark):
+    rows = spark.range(1, 41).selectExpr("0.0D as rating", "if(id = 40, null, cast(if(id % 2 = 0, id, -id) as double)) as predicted")
+    out = evaluation.prediction_metrics(rows)
+    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    r = out.first()
+    assert (r.p95, r.mae, r.coverage) == (38.0, 20.0, 97.5)
+    none = evaluation.prediction_metrics(rows.where("false")).collect()
+    assert len(none) == 1 and none[0].p95 is None
+
+
 def test_percentiles(spark):
     r = evaluation.nearest_rank(spark.range(1, 11).toDF("x"), "x", (50, 95)).first()
     assert (r.p50, r.p95) == (5, 10)

@@ -225,7 +225,7 @@ def bmf_bias_baseline(spark, d):
 
 @query(BIAS + " select round(avg(abs(predicted - rating)), 6) as mae, round(sqrt(avg((predicted - rating) * (predicted - rating))), 6) as rmse, round(avg(predicted - rating), 6) as bias, round(quantile_disc(abs(predicted - rating), 0.95), 6) as p95, 100.0::double as coverage from guessed")
 def eval_prediction_metrics(spark, d):
-    return evaluation.prediction_metrics(factors.bias_baseline(A.ratings(spark, d))).select(*r6("mae", "rmse", "bias", "p95"), "coverage")
+    return evaluation.prediction_metrics(factors.bias_baseline(written(A.ratings(spark, d)))).select(*r6("mae", "rmse", "bias", "p95"), "coverage")
 
 
 def _vectors(spark, d):
