@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import corpus
@@ -79,3 +81,16 @@ def test_no_documents(spark):
     assert alignment.align(corpus.empty(spark)).collect() == []
     got = alignment.align(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")).collect()
     assert sorted(tuple(r)[1:] for r in got) == [(0, 0, 0, 0, 0, 0, "", "")] * 2
+
+
+def test_documents_are_put_together_in_chunks():
+    """Groups of a shard are never all strings at once: chunks hold about as many bytes as asked for, a longer text stands alone."""
+    said = pa.table({"local": pa.array([2, 0, 3, 1], pa.int32()), "said": ["1 1 1 1 0 5 7|8", "2 1 1 2 1 9 1,2|3", alignment.NOTHING, "1 1 1 1 1 4 é|6"]})
+    parts = [np.array([7, 8, 9, 10, 11]), np.array([0, 0, 1, 0, 0], np.uint8), np.array([2, 0, 1, 2, 3], np.int32), np.array([0, 1, 2, 3, 0, 2, 2, 0], np.int32)]
+    docs = pa.table({"docs": pa.array([[alignment.squeeze(x) for x in parts]], pa.list_(pa.binary()))})
+    texts = ["1,2|3;é|6", "", "7|8", "", "7|8;7|8;1,2|3"]
+    want = [(i, *n, t, hashlib.sha256(t.encode()).hexdigest() if t else "") for i, n, t in zip([7, 8, None, 10, 11], [(3, 2, 2, 3, 2, 13), (0,) * 6, (1, 1, 1, 1, 0, 5), (0,) * 6, (4, 3, 3, 4, 1, 19)], texts, strict=True)]
+    for limit, chunks in ((1, 5), (14, 2), (1 << 20, 1)):
+        got = alignment.put_together(said, docs, limit)
+        assert [tuple(r.values()) for r in got.to_pylist()] == want
+        assert len(got.to_batches()) == chunks

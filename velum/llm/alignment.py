@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velum.llm.arrays import byte_spans, chunks, expand, ranges, squeeze
+from velum.llm.arrays import buffers, byte_spans, chunks, expand, ranges, squeeze
 from velum.llm.shared import cut
 from velum.llm.tokens import Encoder
 
@@ -49,6 +49,9 @@ AT = "array<struct<shard:bigint,local:int>>"
 #: What is said of a segment whose tokens don't give its bytes back.
 NOTHING = "-1 0 0 0 0 0 "
 STATS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: Bytes of groups that a task puts together at once.
+TEXT_BYTES = 2 << 20
+COMPOSED = pa.schema([*((c, pa.int64()) for c in ("doc_id", *STATS)), ("groups", pa.string()), ("groups_sha256", pa.string())])
 
 
 def default_paths() -> tuple[str, str]:
@@ -301,28 +304,54 @@ def sent(found: DataFrame, links: DataFrame, most: int) -> DataFrame:
     return found.select(*columns).mapInArrow(run, "shard long, local int, said string")
 
 
+def put_together(left: pa.Table, right: pa.Table, limit: int = TEXT_BYTES) -> pa.Table:
+    """Documents of a shard (``docs`` of ``right``) from its segments' ``local, said``, in chunks of about ``limit`` bytes of groups.
+
+    Groups stay bytes where they came in and are copied once, to the text of a document; no string is made for a segment.
+    """
+    ids, null, sizes, number = (expand(x, k) for x, k in zip(right["docs"][0].as_py(), (np.int64, np.uint8, np.int32, np.int32), strict=True))
+    row = np.empty(left.num_rows, np.int64)
+    row[left["local"].to_numpy()] = np.arange(left.num_rows)
+    number = row[number].astype(np.int32)
+    said = left["said"].combine_chunks()
+    stats, length = [], []
+    for a in range(0, len(said), BLOCK):
+        fields = pc.split_pattern(said.slice(a, BLOCK), " ").flatten()
+        column = lambda c, f=fields: f.take(pa.array(np.arange(c, len(f), len(STATS) + 1)))
+        stats.append(np.stack([column(c).cast(pa.int64()).to_numpy() for c in range(len(STATS))]))
+        length.append(pc.binary_length(column(len(STATS))).to_numpy())
+    stats, length = np.concatenate([np.zeros((len(STATS), 0), np.int64), *stats], 1), np.concatenate([np.zeros(0, np.int64), *length])
+    data, begin = buffers(said)
+    begin = begin[1:] - length
+    edge = np.append(0, np.cumsum(sizes))
+    total = lambda x: np.diff(np.append(0, np.cumsum(x[number]))[edge])
+    whole = (total(stats[0] < 0) == 0) & (sizes > 0)
+    sums = [np.where(whole, total(x), 0) for x in stats]
+    many = np.where(whole, total(length) + sizes - 1, 0)  # with what stands between groups of segments
+    at = np.append(0, np.cumsum(many))
+    out, a = [], 0
+    while a < len(ids):
+        z = max(a + 1, int(np.searchsorted(at, at[a] + limit, "right")) - 1)
+        own = number[edge[a] : edge[z]][np.repeat(whole[a:z], sizes[a:z])]
+        room = length[own] + 1
+        room[np.cumsum(sizes[a:z][whole[a:z]]) - 1] -= 1
+        text = np.full(at[z] - at[a], ord(";"), np.uint8)
+        text[ranges(np.cumsum(room) - room, length[own])] = data[ranges(begin[own], length[own])]
+        offs = at[a : z + 1] - at[a]
+        view = memoryview(text)
+        digest = [hashlib.sha256(view[i:j]).hexdigest() if j > i else "" for i, j in zip(offs.tolist(), offs[1:].tolist(), strict=False)]
+        texts = pa.LargeStringArray.from_buffers(z - a, pa.py_buffer(offs), pa.py_buffer(text)).cast(pa.string())
+        out.append(pa.RecordBatch.from_arrays([pa.array(ids[a:z], mask=null[a:z] == 1), *(pa.array(x[a:z]) for x in sums), texts, pa.array(digest, pa.string())], ["doc_id", *STATS, "groups", "groups_sha256"]))
+        a = z
+    return pa.Table.from_batches(out, COMPOSED)
+
+
 def compose(alignments: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents of shards from their segments' alignments."""
     schema = f"doc_id long, {', '.join(f'{c} long' for c in STATS)}, groups string, groups_sha256 string"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, null, sizes, number = (expand(x, k) for x, k in zip(right["docs"][0].as_py(), (np.int64, np.uint8, np.int32, np.int32), strict=True))
-        by = np.argsort(left["local"].to_numpy())
-        fields = pc.split_pattern(left["said"].combine_chunks().take(pa.array(by)), " ").flatten()
-        column = lambda c: fields.take(pa.array(np.arange(c, len(fields), len(STATS) + 1)))
-        stats = [column(c).cast(pa.int64()).to_numpy() for c in range(len(STATS))]
-        groups = column(len(STATS)).to_pylist()
-        edge = np.append(0, np.cumsum(sizes))
-        whole = (np.diff(np.append(0, np.cumsum((stats[0] < 0)[number]))[edge]) == 0) & (sizes > 0)
-        out = [pa.array(ids, mask=null == 1)]
-        for c in range(len(STATS)):
-            sums = np.diff(np.append(0, np.cumsum(stats[c][number]))[edge])
-            out.append(pa.array(np.where(whole, sums, 0)))
-        texts = []
-        for i, some in enumerate(whole.tolist()):
-            texts.append(";".join(map(groups.__getitem__, number[edge[i] : edge[i + 1]].tolist())) if some else "")
-        digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts]
-        return pa.Table.from_arrays([*out, pa.array(texts, pa.large_string()).cast(pa.string()), pa.array(digest, pa.string())], names=["doc_id", *STATS, "groups", "groups_sha256"])
+        return put_together(left, right)
 
     return alignments.groupBy("shard").cogroup(docs.groupBy("of_shard")).applyInArrow(run, schema)
 
