@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from velum.functions.numbers import round_away
-from velum.operators import factors
+from velum.operators import explain, factors
 
 NAN = float("nan")
 
@@ -47,3 +47,15 @@ def test_round_away(spark):
     assert [r[0] for r in got[:9]] == [1e-6, -1e-6, 2e-6, 2.5, -2.5, 3.0, 3.000001, 0.0, 0.0]
     assert [r[1] for r in got[3:5]] == [3.0, -3.0] and "-" not in str(got[7][0])
     assert spark.createDataFrame([(NAN,)], "x double").select(F.isnan(round_away(F.col("x"), 6))).first()[0]
+
+
+def test_evidence_makes_no_pandas_group_of_a_request(spark):
+    """The least used of the three strongest, over batches of several requests, in the order of ranks."""
+    rows = [(q, 100 + m, m, s, 5, 1.0 - s / 10) for q in (1, 2, 3) for m in (2, 1, 3) for s in (1, 2, 3, 4)]
+    out = explain.evidence(spark.createDataFrame(rows, "requestId long, movieId long, rank int, sourceId long, rating int, contribution double"))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    got = out.coalesce(1).collect()
+    assert len(got) == 9 and {r["rank"] + 100 for r in got} == {101, 102, 103} and all(r["movieId"] == 100 + r["rank"] for r in got)
+    for q in (1, 2, 3):
+        assert sorted(r["anchor"] for r in got if r["requestId"] == q) == [1, 2, 3]
+        assert all(r["evidence"][0] == r["anchor"] and len(r["evidence"]) == 3 and 4 not in r["evidence"] for r in got if r["requestId"] == q)
