@@ -46,14 +46,14 @@ def unit(features: DataFrame, *by: str) -> DataFrame:
 
 
 def index(blocks: list[DataFrame]) -> DataFrame:
-    """Blocks normalised per movie, weighted, joined and normalised again. Empty blocks add nothing."""
+    """Blocks normalised per movie, weighted, joined and normalised again. Empty blocks add nothing. Rows are dealt by movie once, which serves both norms."""
     out = None
     for b in blocks:
         out = b if out is None else out.unionByName(b)
     scale = F.lit(1.0)
     for name, w in K.CONTENT_WEIGHTS.items():
         scale = F.when(col("block") == name, F.lit(float(w))).otherwise(scale)
-    return unit(unit(out, "movieId", "block").withColumn("weight", col("weight") * scale), "movieId")
+    return unit(unit(out.repartition("movieId"), "movieId", "block").withColumn("weight", col("weight") * scale), "movieId")
 
 
 def profile(session: DataFrame, features: DataFrame) -> DataFrame:

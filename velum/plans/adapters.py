@@ -36,7 +36,13 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").crossJoin(F.broadcast(n)).select("user_id", (col("event_id") % col("n")).alias("movieId"), col("event_type").alias("tag"))  # one row of n
 
 
-def movies(spark: SparkSession, d: str) -> DataFrame:
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """``movieId, overview``."""
+    return read(spark, d, "documents").select(col("doc_id").alias("movieId"), col("text").alias("overview"))
+
+
+def movies(spark: SparkSession, d: str, overviews: DataFrame | None = None) -> DataFrame:
+    """Movies with the rows of :func:`texts`, or of ``overviews`` in their place."""
     k = col("p_partkey")
     pick = lambda m, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % m + 1).cast("int"))
     by_type = {"SMALL": ["Animation", "Family"], "PROMO": ["Comedy"], "STANDARD": ["Drama"], "LARGE": ["Action", "Thriller"], "MEDIUM": ["Adventure", "Fantasy"], "ECONOMY": ["Crime", "Drama"]}
@@ -51,21 +57,20 @@ def movies(spark: SparkSession, d: str) -> DataFrame:
         F.array(word, pick(7, "Magic", "school", "Murder", "robot", "drug trade", "family", "nature")).alias("keywords"), F.when(k % 11 != 0, F.concat(F.lit("/"), k.cast("string"))).alias("posterPath"),
         F.when(k % 13 != 0, k).alias("tmdbId"), F.lit(None).cast("string").alias("enrichmentError"),
     )
-    texts = read(spark, d, "documents").select(col("doc_id").alias("movieId"), col("text").alias("overview"))
-    out = parts.join(texts, "movieId", "left").join(C.top_tags(tags(spark, d)), "movieId", "left")
+    out = parts.join(texts(spark, d) if overviews is None else overviews, "movieId", "left").join(C.top_tags(tags(spark, d)), "movieId", "left")
     return out.withColumns({"userTags": F.coalesce("userTags", F.array().cast("array<string>")), "distinctTagCount": F.coalesce("distinctTagCount", F.lit(0)), "texts": F.concat(F.array("title"), F.col("keywords"))})
 
 
-def candidates(spark: SparkSession, d: str, r: DataFrame | None = None) -> DataFrame:
-    """Movies with their scores; ``r`` are :func:`rated` ones that the query reads elsewhere too."""
-    return C.score_candidates(movies(spark, d), C.rating_summary(rated(spark, d) if r is None else r))
+def candidates(spark: SparkSession, d: str, r: DataFrame | None = None, overviews: DataFrame | None = None) -> DataFrame:
+    """Movies with their scores; ``r`` are :func:`rated` ones that the query reads elsewhere too, ``overviews`` as in :func:`movies`."""
+    return C.score_candidates(movies(spark, d, overviews), C.rating_summary(rated(spark, d) if r is None else r))
 
 
-def items(spark: SparkSession, d: str, r: DataFrame | None = None) -> DataFrame:
+def items(spark: SparkSession, d: str, r: DataFrame | None = None, overviews: DataFrame | None = None) -> DataFrame:
     """Candidates with suitability, display score, filtered counts and catalogue roles."""
     r = rated(spark, d) if r is None else r
     filtered = r.where("rating >= 1.0").groupBy("movieId").agg(F.count("*").alias("filteredRatingCount"), round_even(F.avg("rating"), 3).alias("filteredAverageRating"))
-    scored = C.stand_score(C.classify(candidates(spark, d, r))).join(filtered, "movieId", "left")
+    scored = C.stand_score(C.classify(candidates(spark, d, r, overviews))).join(filtered, "movieId", "left")
     return C.roles(scored, POLICY)
 
 

@@ -367,10 +367,15 @@ INDEX = FULL + TOKENS + """, b1 as (select movieId, block, feature, weight / sqr
 idx as (select movieId, block, feature, weight / sqrt(sum(weight * weight) over (partition by movieId)) as weight from b1)"""
 
 
-def _structured(spark, d):
-    it = A.items(spark, d).select("movieId", "genres", "userTags", "keywords", F.array("suitabilityCategory").alias("suitability"), F.array(audit.decade()).alias("context"))
-    it = written(it)  # every block reads it
-    return [content.structured_block(it, c, p, i) for c, p, i in (("genres", "genre", False), ("userTags", "tag", True), ("keywords", "keyword", True), ("suitability", "suitability", False), ("context", "context", False))]
+def _fields(spark, d, *more):
+    """What the blocks of the items read, and the columns ``more``, written once. Of an overview only its first character but spaces comes along, as texts would be dealt for every join."""
+    it = A.items(spark, d, overviews=A.texts(spark, d).withColumn("overview", F.substring(F.trim("overview"), 1, 1)))
+    return stored(it.select("movieId", "genres", "userTags", "keywords", F.array("suitabilityCategory").alias("suitability"), F.array(audit.decade()).alias("context"), *more))
+
+
+def _structured(spark, d, it=None, idf=True):
+    it = _fields(spark, d) if it is None else it
+    return [content.structured_block(it, c, p, i and idf) for c, p, i in (("genres", "genre", False), ("userTags", "tag", True), ("keywords", "keyword", True), ("suitability", "suitability", False), ("context", "context", False))]
 
 
 def _index(spark, d):
@@ -378,8 +383,10 @@ def _index(spark, d):
 
 
 def _whole_index(spark, d):
-    """The index of all six blocks; that of :func:`_index` leaves the texts out."""
-    return content.index([*_structured(spark, d), content.text_block(A.items(spark, d))])
+    """The index of all six blocks; that of :func:`_index` leaves the texts out. Items have one row for each text of their movie, and one if it has none: the texts join the written movies."""
+    it = _fields(spark, d)
+    overviews = A.texts(spark, d).join(it.select("movieId").distinct(), "movieId", "right")
+    return content.index([*_structured(spark, d, it), content.text_block(overviews)])
 
 
 @query(FULL + TOKENS + " select movieId, block, feature, round(weight, 6) as weight from structured")
@@ -401,8 +408,7 @@ tf as (select doc_id, term, count(*) as tf from g group by 1, 2), by_term as (se
 kept as (select term, ln((1 + n) / (1 + df)::double) + 1 as idf from by_term, n where df >= 2 and df <= 0.65 * n order by total desc, term limit 5000)
 select doc_id as movieId, 'text:' || term as feature, round((1 + ln(tf)) * idf, 6) as weight from tf join kept using (term)""")
 def tfidf_text(spark, d):
-    docs = A.read(spark, d, "documents").select(col("doc_id").alias("movieId"), col("text").alias("overview"))
-    return content.text_block(docs).select("movieId", "feature", *r6("weight"))
+    return content.text_block(A.texts(spark, d)).select("movieId", "feature", *r6("weight"))
 
 
 PROFILE_TAIL = SESSIONS + """, met as (select requestId, (rating - 3) / 2.0::double as w, feature, weight from sessions join idx using (movieId) where rating <> 3),
