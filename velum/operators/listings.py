@@ -148,7 +148,10 @@ def top_tokens(items: DataFrame, columns: list[str], n: int = 20) -> DataFrame:
 
 def index_summary(index: DataFrame, items: DataFrame) -> DataFrame:
     """Movies in all and in the index, features, non-zero weights, their mean number a movie (four places) and movies with tags, keywords and overview."""
-    a = index.agg(F.countDistinct("movieId").alias("indexed"), F.countDistinct("feature").alias("features"), F.count("*").alias("nonZero")).withColumn("meanNonZero", F.round(col("nonZero") / col("indexed"), 4))
+    # features by movie and movies by feature are counted each on its own: two distinct counts in one would deal every weight twice
+    by_movie, by_feature = index.groupBy("movieId").agg(F.count("*").alias("n")), index.groupBy("feature").agg(F.lit(1).alias("one"))
+    a = by_movie.agg(F.count("movieId").alias("indexed"), F.coalesce(F.sum("n"), F.lit(0)).alias("nonZero")).crossJoin(by_feature.agg(F.count("feature").alias("features")))
+    a = a.select("indexed", "features", "nonZero").withColumn("meanNonZero", F.round(col("nonZero") / col("indexed"), 4))
     some = lambda c: F.count_if(F.size(c) > 0)
     b = items.agg(F.count("*").alias("movies"), some("userTags").alias("withTags"), some("keywords").alias("withKeywords"), F.count_if(F.trim(F.coalesce("overview", F.lit(""))) != "").alias("withOverview"))
     return a.crossJoin(b)  # one row each
