@@ -316,6 +316,18 @@ def test_substring_dedup(docs, which, monkeypatch):
     assert any(w[2] for w in want)
 
 
+def test_repeated_passages_go_from_400_bytes_on(spark):
+    """A passage that repeats across documents is judged by its bytes, not by its words: one of 399 stays whole, of 400 all goes; all columns."""
+    rng = random.Random(11)
+    some = lambda n, k, letters: " ".join("".join(rng.choice(letters) for _ in range(k)) for _ in range(n))
+    short, long, wide = some(70, 5, "abcdefghij")[:399], some(70, 5, "abcdefghij")[:400], some(58, 3, "äéßü")
+    assert all(len(x.split()) > 50 for x in (short, long, wide)) and len(wide.encode()) == 405
+    texts = [f"A{short}A", f"B{short}B", f"C{long}C{some(90, 5, 'klm')}C{wide}C", f"D{long}D", f"E{wide}E", f"F{some(90, 5, 'nop')}F"]
+    got = sorted(map(tuple, suffixes.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    removed = [(0, 0), (0, 0), (805, 2), (400, 1), (405, 1), (0, 0)]
+    assert got == [(i, len(t.encode()), *r, hashlib.sha256(t.replace(long, "").replace(wide, "").encode()).hexdigest()) for i, (t, r) in enumerate(zip(texts, removed, strict=True))]
+
+
 def test_loser_tree_merges_with_common_prefixes():
     rng = np.random.default_rng(1)
     runs = [sorted(bytes(rng.integers(97, 99, rng.integers(0, 9)).tolist()) for _ in range(n)) for n in (5, 0, 17, 1, 30)]
