@@ -95,6 +95,9 @@ def test_stand_score(spark):
     score = lambda **k: catalogue.stand_score(item(spark, **k)).first().standDisplayScore
     assert score() == 0.8491
     assert score(suitabilityCategory="teen") == 0.8183
+    # halves but for last bits round as the scaled value does, in SQL too
+    assert score(us="", es="A", genres=["Crime", "Drama"], keywords=["small", "school"], userTags=["view"], suitabilityCategory="teen", popularity=64.89999999999998, dataReliabilityScore=0.7525, recencyScore=0.8) == 0.5266
+    assert score(us="PG", genres=["Animation", "Family"], keywords=["blue", "nature"], userTags=["signup"], popularity=114.70000000000005, dataReliabilityScore=0.7875, recencyScore=0.7666666666666667) == 0.7494
 
 
 @pytest.mark.parametrize(("change", "want"), [({}, []), ({"genres": ["documentary"]}, ["documentary"]), ({"runtime": 69}, ["short_runtime"]), ({"runtime": 70}, []), ({"runtime": None}, []), ({"posterPath": None, "year": None}, ["missing_poster", "missing_year"]), ({"standDisplayScore": 0.4}, ["low_stand_display_score"]), ({"standDisplayScore": 0.4, "language": "fr", "ratingCount": 120, "popularity": 1.0, "genres": ["Drama"]}, ["low_stand_accessibility"])])

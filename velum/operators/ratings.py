@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.functions import constants as K
+from velum.functions.numbers import round_away
 from velum.operators.catalogue import ranked
 
 col = F.col
@@ -57,7 +58,7 @@ def popularity(items: DataFrame) -> DataFrame:
     a, b = K.POPULARITY_WEIGHTS
     score = a * mean * (n / (n + K.POPULARITY_PRIOR)) + b * stand
     rated = items.where((n > 0) & (mean > 0)).select("movieId", score.alias("score"))
-    return ranked(rated, [F.round("score", 9).desc(), col("movieId")])
+    return ranked(rated, [round_away(col("score"), 9).desc(), col("movieId")])
 
 
 def fillers(ranking: DataFrame, requests: DataFrame, taken: DataFrame, limit: int, universe: DataFrame | None = None) -> DataFrame:

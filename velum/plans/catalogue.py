@@ -106,7 +106,7 @@ def _popular(spark, d, r=None):
 
 @query(FULL + POPULAR + " select movieId, round(score, 9) as score, rnk as \"rank\" from ranking")
 def popularity_ranking(spark, d):
-    return _popular(spark, d).select("movieId", F.round("score", 9).alias("score"), *big("rank"))
+    return _popular(spark, d).select("movieId", round_away(col("score"), 9).alias("score"), *big("rank"))
 
 
 @query(FULL + "," + A.SQL["sessions"].strip().rstrip(",") + POPULAR + """, free as (select u.requestId, r.movieId, r.score, row_number() over (partition by u.requestId order by r.rnk) as place
@@ -115,7 +115,7 @@ select requestId, movieId, round(score, 9) as score, place as \"rank\", true as
 def popularity_fillers(spark, d):
     r = A.rated(spark, d)
     s = A.sessions(spark, d, r).select("requestId", "movieId")
-    return ratings.fillers(_popular(spark, d, r), s.select("requestId", F.lit(0).alias("have")).distinct(), s, LIMIT).select("requestId", "movieId", F.round("score", 9).alias("score"), *big("rank"), "fallback")
+    return ratings.fillers(_popular(spark, d, r), s.select("requestId", F.lit(0).alias("have")).distinct(), s, LIMIT).select("requestId", "movieId", round_away(col("score"), 9).alias("score"), *big("rank"), "fallback")
 
 
 @query(RATED + """ select (select count(distinct userId) from ratings)::bigint as users, (select count(distinct movieId) from ratings)::bigint as movies, (select count(*) from ratings)::bigint as ratings,
