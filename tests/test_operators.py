@@ -72,6 +72,13 @@ def test_sums_over_lists_equal_loops(spark, monkeypatch, length):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_rankings_tie_at_nine_places_as_in_sql(spark):
+    """0.5093149315 scaled is below the half, its shortest decimal is not."""
+    model = spark.createDataFrame([(10, 30, 0.509314931), (10, 31, 0.5093149315)], "movieId long, neighborId long, similarity double")
+    out = neighbours.item_recommend(session(spark, [(10, 4)]), model, spark.createDataFrame([(30,), (31,)], "movieId long"), 10).collect()
+    assert {r.movieId: r["rank"] for r in out} == {30: 1, 31: 2}
+
+
 def test_scalar_scores(spark):
     one = spark.range(1)
     v = one.select(catalogue.reliability(F.lit(100), F.lit(4.0), F.lit(1000)).alias("a"), *[catalogue.recency(F.lit(y).cast("int")).alias(f"y{y}") for y in (1989, 1990, 2008, 2025, 2026)], catalogue.recency(F.lit(None).cast("int")).alias("none"), catalogue.tag_signal(F.array(*[F.lit(str(i)) for i in range(5)])).alias("t")).first()
